@@ -34,10 +34,14 @@ CAPACITY = 2048
 PATTERN_LENGTHS, PATTERNS = 160, 1500
 
 
-def nnls(a: np.ndarray, b: np.ndarray, steps: int = 300) -> np.ndarray:
+def nnls(a: np.ndarray, b: np.ndarray, steps: int = 200) -> np.ndarray:
     """Non-negative least squares by accelerated projected gradient descent."""
     gram, target = a.T @ a, a.T @ b
-    bound = np.linalg.norm(gram, 2) or 1.0
+    probe = np.ones(a.shape[1])
+    for _ in range(20):  # power iteration for the step size; row sums bound it from above
+        probe = gram @ probe
+        probe /= np.linalg.norm(probe) or 1.0
+    bound = min(1.05 * float(probe @ gram @ probe), float(np.abs(gram).sum(1).max())) or 1.0
     x = y = np.zeros(a.shape[1])
     t = 1.0
     for _ in range(steps):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, sentencepieces, sharding
+from . import packing, seekable, sentencepieces, sharding
 
 QUERIES = {
+    "op4_token_files": seekable.op4_token_files,
     "op5_packing": packing.op5_packing,
     "op6_sharding": sharding.op6_sharding,
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
