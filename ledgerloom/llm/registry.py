@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, seekable, sentencepieces, sharding
+from . import classifier, packing, rules, seekable, sentencepieces, sharding
 
 QUERIES = {
+    "op1_quality_classifier": classifier.op1_quality_classifier,
+    "op2_quality_rules": rules.op2_quality_rules,
     "op4_token_files": seekable.op4_token_files,
     "op5_packing": packing.op5_packing,
     "op6_sharding": sharding.op6_sharding,
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": rules.ORACLE,
+}
