@@ -93,7 +93,7 @@ def cascade_rules() -> dict[str, Column]:
     return {
         "symbols": 100 * F.col("n_symbols") <= 10 * words,
         "word_length": (F.col("word_chars") >= 3 * words) & (F.col("word_chars") <= 12 * words),
-        "duplicate_lines": 100 * F.col("n_dup_lines") <= 30 * F.col("n_lines"),
+        "duplicate_lines": 100 * F.col("n_dup_lines") <= 50 * F.col("n_lines"),
         "capitals": 100 * (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))) <= 30 * F.col("word_chars"),
         "letters": 100 * with_letter() >= 70 * words,
         "ellipses": 100 * ellipsis() <= 30 * F.col("n_lines"),
@@ -170,7 +170,7 @@ WITH base AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     100 * n_symbols <= 10 * n_words
     AND word_chars >= 3 * n_words AND word_chars <= 12 * n_words
-    AND 100 * n_dup_lines <= 30 * n_lines
+    AND 100 * n_dup_lines <= 50 * n_lines
     AND 100 * (length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g'))) <= 30 * word_chars
     AND 100 * len(list_filter(words, lambda w: regexp_matches(w, '\p{L}'))) >= 70 * n_words
     AND 100 * len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) <= 30 * n_lines
