@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import classifier, packing, rules, seekable, sentencepieces, sharding
+from . import classifier, jaccard, packing, rules, seekable, sentencepieces, sharding
 
 QUERIES = {
     "op1_quality_classifier": classifier.op1_quality_classifier,
     "op2_quality_rules": rules.op2_quality_rules,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_token_files": seekable.op4_token_files,
     "op5_packing": packing.op5_packing,
     "op6_sharding": sharding.op6_sharding,
