@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, jaccard, packing, rules, seekable, sentencepieces, sharding
+from . import classifier, jaccard, neighbours, packing, rules, seekable, sentencepieces, sharding
 
 QUERIES = {
     "op1_quality_classifier": classifier.op1_quality_classifier,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_files": seekable.op4_token_files,
     "op5_packing": packing.op5_packing,
     "op6_sharding": sharding.op6_sharding,
+    "op7_near_duplicates": neighbours.op7_near_duplicates,
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
 
