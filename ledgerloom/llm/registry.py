@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, jaccard, neighbours, packing, rules, seekable, sentencepieces, sharding
+from . import classifier, jaccard, neighbours, packing, rules, seekable, sentencepieces, sharding, wrappers
 
 QUERIES = {
     "op1_quality_classifier": classifier.op1_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_sharding": sharding.op6_sharding,
     "op7_near_duplicates": neighbours.op7_near_duplicates,
+    "op8_main_text": wrappers.op8_main_text,
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
 
