@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, jaccard, neighbours, packing, rules, seekable, sentencepieces, sharding, wrappers
+from . import classifier, jaccard, katz, neighbours, packing, rules, seekable, sentencepieces, sharding, wrappers
 
 QUERIES = {
     "op1_quality_classifier": classifier.op1_quality_classifier,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_near_duplicates": neighbours.op7_near_duplicates,
     "op8_main_text": wrappers.op8_main_text,
+    "op9_katz": katz.op9_katz,
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
 
