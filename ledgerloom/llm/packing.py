@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import store, table
-from .tokens import BpeEncoder, slices
+from .tokens import SLICE, BpeEncoder, slices
 
 CAPACITY = 2048
 #: Lengths that may stand in enumerated patterns and patterns tried per round; bound the plan.
@@ -162,9 +162,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
         end = np.array([end_id], "<u4").tobytes()
         taken = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1)
             row, piece, start, length, crc, place = [], [], [], [], [], []
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 for i, ids in enumerate(encoder.encode(texts[lo:hi]), lo):
                     ids += end
                     total = len(ids) // 4

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, store, table
-from .tokens import BpeEncoder, slices
+from .tokens import SLICE, BpeEncoder, slices
 
 #: Fixed values of the public layout.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK_TABLE, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -132,8 +132,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         end, block = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         writer, n_docs, n_tokens = None, 0, 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in slices(texts, SLICE):
                 for key, ids in zip(keys[lo:hi], encoder.encode(texts[lo:hi])):
                     if writer is None:
                         system, base = fs.FileSystem.from_uri(folder)

@@ -13,11 +13,18 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks remembered by a worker; when full, it starts afresh.
-CACHE_CHUNKS = 500_000
-#: Outside of these the whole text goes to the library; so do gaps of two.
-_PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]|[ \n\t\r]{2}")
+CACHE_CHUNKS = 900_000
+#: Characters of the same class in every Unicode version; a chunk with another
+#: one sends its text through the library whole, and so do gaps of two.
+_ODD = re.compile("[^\n\x21-\x7e\xa1-\u024f]")
+#: Characters of texts encoded together.
+SLICE = 8_000_000
+#: Chunks of one call to the library.
+_TOGETHER = 256
 
 
 class BpeEncoder:
@@ -31,7 +38,11 @@ class BpeEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes | int] = {}
+        size = self.tokenizer.get_vocab_size()
+        blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        #: whether an id's bytes begin with a blank
+        self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(size)])
 
     @classmethod
     def of(cls, path: str) -> BpeEncoder:
@@ -43,43 +54,73 @@ class BpeEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null counts as empty."""
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        out: list[bytes | None] = []
-        plain: list[tuple[int, list[str]]] = []
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of new chunks; 0 for a chunk with an odd character."""
+        alone, joined = [], []
+        for key in missing:
+            (joined if key and key[0] > " " else alone).append(key)
+        self.chunks.update((key, 0) for key in alone if _ODD.search(key, 1 if key[:1] == "\0" else 0))
+        alone = [key for key in alone if key not in self.chunks]
+        self.chunks.update(zip(alone, self.whole([key[1:] if key[:1] == "\0" else key or " " for key in alone])))
+        # a blank opens each of these chunks and stands nowhere else, so it also tells their ids apart
+        runs = [joined[i : i + _TOGETHER] for i in range(0, len(joined), _TOGETHER)]
+        texts = []
+        for k, keys in enumerate(runs):
+            if _ODD.search("".join(keys)):
+                self.chunks.update((x, 0) for x in keys if _ODD.search(x))
+                runs[k] = keys = [x for x in keys if not _ODD.search(x)]
+            texts.append(" " + " ".join(keys) if keys else "")
+        for keys, found in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            starts = (4 * np.flatnonzero(self.leads[ids])).tolist()
+            raw = ids.tobytes()
+            self.chunks.update(zip(keys, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text; null counts as empty.
+
+        Splitting, finding the different chunks of the batch and laying out
+        their ids run in Arrow; Python sees each different chunk once a batch.
+        """
         chunks = self.chunks
-        missing: set[str] = set()
-        for i, text in enumerate(texts):
-            out.append(b"")
-            if not text:
-                continue
-            if _PLAIN.search(text):
-                out[i] = None
-                continue
-            # a line end starts a chunk of its own, every other chunk but the first has its blank
-            parts = text.replace("\n", " \n").split(" ")
-            parts[0] = f"\0{parts[0]}"
-            plain.append((i, parts))
-            missing.update(p for p in parts if p not in chunks)
+        if len(chunks) > CACHE_CHUNKS:
+            chunks.clear()
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        if not len(texts):
+            return []
+        whole = pc.match_substring_regex(texts, r"[ \n]{2}|\x00").to_numpy(zero_copy_only=False)
+        # a line end starts a chunk of its own, every other chunk but the first has its blank
+        marked = pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \n"), "")
+        parts = pc.split_pattern(marked, " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(chunks.get, names))
+        missing = {name for name, ids in zip(names, found) if ids is None}
         if missing:
-            keys = list(missing)
-            as_text = [k[1:] if k[:1] == "\0" else k if k[:1] == "\n" else f" {k}" for k in keys]
-            chunks.update(zip(keys, self.whole(as_text)))
-        for i, parts in plain:
-            out[i] = b"".join(map(chunks.__getitem__, parts))
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
-            out[i] = ids
+            self._learn(missing)
+            found = [chunks[n] if ids is None else ids for n, ids in zip(names, found)]
+        odd = np.array([ids == 0 for ids in found])
+        if odd.any():  # a chunk that must not be cut out
+            found = [ids or b"" for ids in found]
+            whole = whole | (np.add.reduceat(odd[at], bounds[:-1]) > 0)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        raw = ids.take(coded.indices).flatten().to_numpy().tobytes()
+        ends = 4 * np.concatenate([[0], np.cumsum(sizes[at])])[bounds]
+        out = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        out = [x if n else b"" for x, n in zip(out, pc.binary_length(texts).to_pylist())]
+        rest = np.flatnonzero(whole).tolist()
+        for i, x in zip(rest, self.whole(texts.take(pa.array(rest, pa.int64())).to_pylist())):
+            out[i] = x
         return out
 
 
-def slices(texts: list, most_chars: int = 2_000_000):
+def slices(texts: list | pa.Array, most_chars: int = 2_000_000):
     """Runs of a batch with a bounded sum of characters (one text at least)."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
     start, total = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text or "")
+    for i, size in enumerate(sizes):
         if i > start and total + size > most_chars:
             yield start, i
             start, total = i, 0
