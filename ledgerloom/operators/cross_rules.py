@@ -161,13 +161,13 @@ def pair_rules(pairs: DataFrame) -> DataFrame:
     b1 = _rows(pairs, "B1", "critical", F.coalesce(gap < 0.01, F.lit(True)), tin=tin, observed=gap, threshold=0.01)
     old, new = strip(F.col("prior.partnership_name")), strip(F.col("current.partnership_name"))
     named = pairs.withColumns({"old": old, "new": new}).where("old <> '' AND new <> ''").withColumn("sim", similarity(F.col("old"), F.col("new")))
-    changed = (F.col("old") != F.col("new")) & (F.col("sim") < 0.85)
-    b3 = _rows(named.where(changed), "B3", "warning", F.lit(False), tin=tin, observed=F.col("sim"), threshold=0.85)
+    b3 = _rows(named, "B3", "warning", (F.col("old") == F.col("new")) | (F.col("sim") >= 0.85), observed=F.col("sim"), threshold=0.85)
     kind = lambda side: F.lower(F.coalesce(F.col(f"{side}.partner_type"), F.lit("")))
     gp = lambda k: k.contains("general") | k.contains("member-manager")
     lp = lambda k: k.contains("limited") | k.contains("other llc")
     p, c = kind("prior"), kind("current")
-    b4 = _rows(pairs.where((gp(p) & lp(c)) | (lp(p) & gp(c))), "B4", "warning", F.lit(False), tin=tin)
+    typed = pairs.where((strip(p) != "") & (strip(c) != ""))
+    b4 = _rows(typed, "B4", "warning", ~((gp(p) & lp(c)) | (lp(p) & gp(c))), tin=tin)
     return b1.unionByName(b3).unionByName(b4)
 
 

@@ -233,8 +233,8 @@ _PAIRS = """, pr AS (SELECT b.*, a.capital_account_ending AS prior_end, a.partne
 _B = f"""{_PAIRS}
 SELECT 'B1' AS rule_id, abs(CAST(prior_end AS DECIMAL(18,2)) - CAST(capital_account_beginning AS DECIMAL(18,2))) < 0.01 AS passed, {_COLS}, partner_tin, CAST(NULL AS VARCHAR) AS detail,
   round(CAST(abs(CAST(prior_end AS DECIMAL(18,2)) - CAST(capital_account_beginning AS DECIMAL(18,2))) AS DOUBLE), 4) AS observed, CAST(0.01 AS DOUBLE) AS threshold FROM pr
-UNION ALL SELECT 'B3', false, {_COLS}, partner_tin, NULL, round({_sim("prior_name", "partnership_name")}, 4), 0.85 FROM pr WHERE prior_name <> partnership_name AND {_sim("prior_name", "partnership_name")} < 0.85
-UNION ALL SELECT 'B4', false, {_COLS}, partner_tin, NULL, NULL, NULL FROM pr WHERE prior_type <> partner_type"""
+UNION ALL SELECT 'B3', prior_name = partnership_name OR {_sim("prior_name", "partnership_name")} >= 0.85, {_COLS}, NULL, NULL, round({_sim("prior_name", "partnership_name")}, 4), 0.85 FROM pr
+UNION ALL SELECT 'B4', prior_type = partner_type, {_COLS}, partner_tin, NULL, NULL, NULL FROM pr"""
 _HISTORY = """, h AS (
   SELECT *, 1 AS v FROM k1 UNION ALL SELECT *, 2 FROM k1 WHERE right(partner_tin, 1) = '3'
   UNION ALL SELECT * REPLACE (distributions + 100 AS distributions, CAST(NULL AS DOUBLE) AS interest_income), 3 FROM k1 WHERE right(partner_tin, 1) = '7')"""
