@@ -23,7 +23,7 @@ def extract_record(text: Column) -> Column:
 
 def ocr_passthrough(content: Column) -> Column:
     """Text inputs as one page; bytes that are no text give none."""
-    return F.array(F.struct(F.lit(1).alias("page"), F.decode(content, F.lit("UTF-8")).alias("text")))
+    return F.array(F.struct(F.lit(1).alias("page"), F.decode(content, "UTF-8").alias("text")))
 
 
 def no_judgement() -> Column:

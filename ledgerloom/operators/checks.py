@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import INCOME7, MAGNITUDES, NON_NEGATIVE, PARTNER_TYPES, SECTION_179_DEFAULT, SECTION_179_LIMITS
@@ -66,33 +66,40 @@ CHECKS = [
 ]
 
 
+_META = {
+    "rule_id": [c.rule_id for c in CHECKS], "rule_name": [c.rule_name for c in CHECKS], "severity": [c.severity for c in CHECKS],
+}
+
+
+def _failed(check: Check) -> Column:
+    return F.coalesce(F.expr(check.violation), F.lit(False))
+
+
+def _result(failed: Column, at: Column) -> dict[str, Column]:
+    """One result: what varies is a boolean, the rest comes from constant arrays."""
+    known = {name: F.get(F.array(*map(F.lit, values)), at) for name, values in _META.items()}
+    fields = F.get(F.array(*(F.lit(",".join(c.fields)) for c in CHECKS)), at)
+    message = F.when(failed, F.concat(known["rule_name"], F.lit(": failed"))).otherwise(F.lit("ok"))
+    return known | {"passed": ~failed, "message": message, "fields_involved": F.split(fields, ",")}
+
+
 def with_checks(records: DataFrame) -> DataFrame:
     """``records`` with an array column ``checks`` of 44 results, in order."""
-    results = [
-        F.struct(
-            F.lit(c.rule_id).alias("rule_id"), F.lit(c.rule_name).alias("rule_name"), F.lit(c.severity).alias("severity"),
-            (~F.coalesce(F.expr(c.violation), F.lit(False))).alias("passed"),
-            F.when(F.expr(f"coalesce({c.violation}, false)"), F.lit(f"{c.rule_name}: failed")).otherwise(F.lit("ok")).alias("message"),
-            F.array(*map(F.lit, c.fields)).alias("fields_involved"),
-        )
-        for c in CHECKS
-    ]
-    return records.withColumn("checks", F.array(*results))
+    failed = F.array(*map(_failed, CHECKS))
+    return records.withColumn("checks", F.transform(failed, lambda f, i: F.struct(*(v.alias(n) for n, v in _result(f, i).items()))))
 
 
 def check_rows(records: DataFrame, keys: list[str]) -> DataFrame:
     """One row per record and check."""
-    return with_checks(records).select(*keys, F.posexplode("checks").alias("position", "c")).select(*keys, "position", "c.*")
+    rows = records.select(*keys, F.posexplode(F.array(*map(_failed, CHECKS))).alias("position", "failed"))
+    return rows.select(*keys, "position", *(v.alias(n) for n, v in _result(F.col("failed"), F.col("position")).items()))
 
 
-def report(checked: DataFrame) -> DataFrame:
+def report(records: DataFrame) -> DataFrame:
     """Failure counts by severity and ``deterministic_passed``."""
-
-    def failed(severity: str):
-        return F.size(F.filter("checks", lambda c: ~c["passed"] & (c["severity"] == severity)))
-
-    checked = checked.withColumns({f"{s}_count": failed(s) for s in ("critical", "warning", "advisory")})
-    return checked.withColumn("deterministic_passed", F.col("critical_count") == 0)
+    count = lambda s: sum((_failed(c).cast("int") for c in CHECKS if c.severity == s), F.lit(0))
+    counted = records.withColumns({f"{s}_count": count(s) for s in ("critical", "warning", "advisory")})
+    return counted.withColumn("deterministic_passed", F.col("critical_count") == 0)
 
 
 def with_status(reported: DataFrame) -> DataFrame:

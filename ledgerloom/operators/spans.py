@@ -33,21 +33,28 @@ ALLOWED_TERMS = [
 SPAN_TYPE = "struct<entity_type:string,start:int,end:int,score:double,text_snippet:string>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def pattern_spans(text: Column, entity: str, pattern: str, score: float) -> Column:
     """All matches with code-point offsets: what lies between matches tells
     where each begins."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN_TYPE}>").alias("out"))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
 
-    def step(acc, i):
-        begin = acc["at"] + F.length(F.get(gaps, i))
-        end = begin + F.length(F.get(hits, i))
-        span = F.struct(F.lit(entity).alias("entity_type"), begin.alias("start"), end.alias("end"), F.lit(score).alias("score"), F.get(hits, i).alias("text_snippet"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span.cast(SPAN_TYPE))).alias("out"))
+    def spans(p):
+        def step(acc, x):
+            begin = acc["at"] + F.length(x["gap"])
+            end = begin + F.length(x["hit"])
+            span = F.struct(F.lit(entity).alias("entity_type"), begin.alias("start"), end.alias("end"), F.lit(score).alias("score"), x["hit"].alias("text_snippet"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span.cast(SPAN_TYPE))).alias("out"))
 
-    places = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda acc: acc["out"])
+        pairs = F.zip_with(p["hits"], F.slice(p["gaps"], 1, F.size(p["hits"])), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
+        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+    return let(parts, spans)
 
 
 def detect(text: Column, types: list[str] | None = None) -> Column:
@@ -70,15 +77,17 @@ def number_spans(spans: Column) -> Column:
     """Placeholders: the n-th different text of a type, by first detection; the
     numbers count spans that overlap handling drops later as well."""
 
-    def numbered(s, i):
-        before = F.slice(spans, F.lit(1), i + 1)
-        same = F.filter(before, lambda x: x["entity_type"] == s["entity_type"])
-        texts = F.array_distinct(F.transform(same, lambda x: x["text_snippet"]))
-        n = F.array_position(texts, s["text_snippet"])
-        name = F.concat(F.lit("<"), s["entity_type"], F.lit("_"), n.cast("string"), F.lit(">"))
-        return F.struct(i.alias("pos"), *(s[c].alias(c) for c in ("entity_type", "start", "end", "score", "text_snippet")), name.alias("placeholder"))
+    def numbered(every):
+        def one(s, i):
+            before = F.slice(every, F.lit(1), i + 1)
+            same = F.filter(before, lambda x: x["entity_type"] == s["entity_type"])
+            n = F.array_position(F.array_distinct(F.transform(same, lambda x: x["text_snippet"])), s["text_snippet"])
+            name = F.concat(F.lit("<"), s["entity_type"], F.lit("_"), n.cast("string"), F.lit(">"))
+            return F.struct(i.alias("pos"), *(s[c].alias(c) for c in ("entity_type", "start", "end", "score", "text_snippet")), name.alias("placeholder"))
+
+        return F.transform(every, one)
 
-    return F.transform(spans, numbered)
+    return let(spans, numbered)
 
 
 def without_overlap(numbered: Column) -> Column:
@@ -100,7 +109,7 @@ def redact(text: Column, chosen: Column) -> Column:
         ordered, start,
         lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["placeholder"]).alias("out")),
     )
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
 
 
 def sanitize(docs: DataFrame, text: str = "text", provider=detect) -> DataFrame:

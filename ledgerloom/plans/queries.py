@@ -32,7 +32,7 @@ def q_checks(spark, sf_dir):
 
 
 def q_report_status(spark, sf_dir):
-    found = checks.with_status(checks.report(checks.with_checks(k1_records(spark, sf_dir))))
+    found = checks.with_status(checks.report(k1_records(spark, sf_dir)))
     return found.select(*KEY, "critical_count", "warning_count", "advisory_count", "status")
 
 

@@ -29,7 +29,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def page_count(content):
     """Page marks in a PDF's bytes; -1 where there are none."""
-    text = F.decode(content, F.lit("ISO-8859-1"))
+    text = F.decode(content, "ISO-8859-1")
     pages = F.size(F.regexp_extract_all(text, F.lit(r"/Type\s*/Page[^s]"), F.lit(0)))
     return F.when(pages > 0, pages).otherwise(-1)
 

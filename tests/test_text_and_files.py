@@ -94,7 +94,7 @@ def test_drop_zone_is_idempotent(spark, tmp_path):
     table = files.RecordTable(spark, f"file://{tmp_path}/records")
 
     def to_records(batch):
-        parsed = files.ingest(batch, now="2025-01-01").withColumn("r", extract_record(F.decode("content", F.lit("UTF-8"))))
+        parsed = files.ingest(batch, now="2025-01-01").withColumn("r", extract_record(F.decode("content", "UTF-8")))
         columns = [F.col(f"r.{c}").alias(c) for c in ("tax_year", "partnership_name", "partner_type", "partner_share_percentage")]
         out = parsed.select("run_id", "source_pdf_name", "pdf_sha256", F.col("ingested_at").cast("string").alias("ingested_at"), *columns, F.col("r.distributions").alias("distributions"))
         out = out.withColumns({"partnership_ein": F.lit("e"), "partner_tin": F.lit("t"), "error": F.when(F.col("tax_year").isNull(), "no tax year")})
