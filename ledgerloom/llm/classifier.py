@@ -147,6 +147,20 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
+    """The rows of ``docs`` at or above the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranker)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [shared.value(_statistics_of(texts[lo:hi])) for lo, hi in slices(texts)]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ranker = fit(docs, table(spark, sf_dir, "labels"))

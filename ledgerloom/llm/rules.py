@@ -32,16 +32,16 @@ def _count_without(text: Column, chars: str) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the base measures of every document."""
+    """row (all columns of ``docs`` as they came), text and the base measures."""
     text = F.col("text")
-    first = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).select(
-        "doc_id",
+    first = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text")).select(
+        "row",
         "text",
         F.filter(F.split(text, WORD_GAP), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     hashed = first.select(
-        "doc_id", "text",
+        "row", "text",
         F.size("words").cast("long").alias("n_words"),
         _count_without(text, GAP_CHARS).cast("long").alias("word_chars"),
         (F.length(text) - _count_without(text, SYMBOLS)).cast("long").alias("n_symbols"),
@@ -122,21 +122,32 @@ def order_rules(measured: DataFrame, rules: dict[str, Column], costs: dict[str,
     return sorted(rules, key=lambda n: (-(shares[n] or 0.0) / costs[n], n))
 
 
-def judge(docs: DataFrame, rules: dict[str, Column] | None = None, costs: dict[str, float] | None = None) -> DataFrame:
-    """Measures, base_failed, rejected_by (the first rule that rejects) and kept."""
+def judged(docs: DataFrame, rules: dict[str, Column] | None = None, costs: dict[str, float] | None = None) -> DataFrame:
+    """``measure`` with base_failed, rejected_by (the first rule that rejects) and kept."""
     rules = rules or cascade_rules()
     rows = docs.count()
-    sample = docs.sample(fraction=min(1.0, 1.5 * SAMPLE_ROWS / max(rows, 1)), seed=7).limit(SAMPLE_ROWS)
+    sample = docs.select("text").sample(fraction=min(1.0, 1.5 * SAMPLE_ROWS / max(rows, 1)), seed=7).limit(SAMPLE_ROWS)
     trial = store(measure(sample), "rule-sample")
     names = order_rules(trial, rules, costs)
     release(trial)
     verdict = F.when(base_failed(), F.lit("base"))
     for name in names:
         verdict = verdict.when(~F.coalesce(rules[name], F.lit(True)), F.lit(name))
-    return measure(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), verdict.alias("rejected_by"),
-    ).withColumn("kept", F.col("rejected_by").isNull())
+    return measure(docs).withColumn("base_failed", base_failed()).withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+
+
+def judge(docs: DataFrame, rules: dict[str, Column] | None = None, costs: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, the measures, base_failed, rejected_by and kept of every document."""
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"]
+    return judged(docs.select("doc_id", "text"), rules, costs).select("row.doc_id", *columns)
+
+
+def keep_accepted(docs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
+    """The rows of ``docs`` that every rule accepts, with all their columns."""
+    # a filter on computed arrays would be pushed below them and compute them once a word;
+    # it cannot pass a column that is not deterministic
+    found = judged(docs, rules).withColumn("task", F.spark_partition_id())
+    return found.where(F.col("kept") & (F.col("task") >= 0)).select("row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def test_measures_equal_brute_force(spark, edge, nothing):
 
 def test_order_follows_rejections_per_cost(spark):
     rng = random.Random(1)
-    docs = spark.createDataFrame([(i, (junk(rng).upper() if i % 4 == 1 else junk(rng)) if i % 2 else " ".join(f"word{rng.randint(0, 500)}" for _ in range(90))) for i in range(60)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, (junk(rng) + " CAPITALS" * 80 if i % 4 == 1 else junk(rng)) if i % 2 else " ".join(f"word{rng.randint(0, 500)}" for _ in range(90))) for i in range(60)], "doc_id long, text string")
     every = rules.cascade_rules()
     measured = rules.measure(docs)
     first = rules.order_rules(measured, every, dict.fromkeys(every, 1.0))
