@@ -31,10 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}")
+        found = spark.sparkContext.getCheckpointDir()
+    # a path without a scheme belongs to the cluster's default file system
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
