@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import store, table
-from .tokens import SLICE, BpeEncoder, slices
+from .tokens import CACHE_CHUNKS, SLICE, BpeEncoder, slices
 
 CAPACITY = 2048
 #: Lengths that may stand in enumerated patterns and patterns tried per round; bound the plan.
@@ -153,12 +153,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return segments
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, cache: int = CACHE_CHUNKS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, block, place: ``place`` numbers
     the pieces of one length within one task."""
 
     def run(batches):
-        encoder, block = BpeEncoder.of(tokenizer), TaskContext.get().partitionId()
+        encoder, block = BpeEncoder.of(tokenizer, cache), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         taken = np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -193,10 +193,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, cache: int = CACHE_CHUNKS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; ``cache`` is
+    how many different chunks a worker remembers (memory against time)."""
     spark = docs.sparkSession
-    pieces = store(tokenised_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    pieces = store(tokenised_pieces(docs, tokenizer, capacity, end_id, cache), "pieces")
     counts = store(pieces.groupBy("block", "length").agg(F.count("*").alias("n")), "piece-counts")
     # at most one row for each length up to the capacity
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -39,15 +39,17 @@ class BpeEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.chunks: dict[str, bytes | int] = {}
+        self.most_chunks = CACHE_CHUNKS
         size = self.tokenizer.get_vocab_size()
         blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         #: whether an id's bytes begin with a blank
         self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(size)])
 
     @classmethod
-    def of(cls, path: str) -> BpeEncoder:
+    def of(cls, path: str, most_chunks: int = CACHE_CHUNKS) -> BpeEncoder:
         if path not in cls._of:
             cls._of[path] = cls(path)
+        cls._of[path].most_chunks = most_chunks
         return cls._of[path]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -83,7 +85,7 @@ class BpeEncoder:
         their ids run in Arrow; Python sees each different chunk once a batch.
         """
         chunks = self.chunks
-        if len(chunks) > CACHE_CHUNKS:
+        if len(chunks) > self.most_chunks:
             chunks.clear()
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
         if not len(texts):
