@@ -43,7 +43,7 @@ END, BEGIN = np.uint64(0x5E5E5E5E00000001), np.uint64(0x5E5E5E5E00000002)
 CUT = 5
 #: A word with more than this share of all tokens is dealt by pair; so many at most.
 HOT_SHARE = 1 / 4000
-CHUNK_TOKENS, FLUSH_ROWS = 3_000_000, 2_000_000
+CHUNK_TOKENS, FLUSH_ROWS = 600_000, 500_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _SUMS = ["n_tokens", "n_known", *(f"k{r}" for r in range(1, CUT + 1))]
 
@@ -239,17 +239,23 @@ class _Sums:
         self.rows = np.stack([np.bincount(inverse, weights=stacked[:, c], minlength=len(self.keys)) for c in range(stacked.shape[1])], 1)
 
 
+    def packed(self, buckets: int):
+        """(bucket, blob) of all rows, emptied: whole numbers first, two real columns last."""
+        part = (mix(self.keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        for b in np.unique(part):
+            at = np.flatnonzero(part == b)
+            whole = [self.rows[at, c].astype(np.uint32) for c in range(self.rows.shape[1] - 2)]
+            yield int(b), _pack(self.keys[at], *whole, self.rows[at, -2], self.rows[at, -1])
+        self.__init__(self.rows.shape[1])
+
+
 def _score_pairs(dealt: DataFrame, words, buckets: int) -> DataFrame:
     """The pair stage: kind ``doc`` has sums of documents, ``history`` packed
     sums of histories, ``unseen`` packed events, ``pairs`` counts of counts."""
-    plain = ["doc_id", *_SUMS, "base", "logs"]
 
-    def batch_of(kind: str, n: int, **columns) -> pa.RecordBatch:
-        arrays = [pa.array([kind] * n, pa.string())]
-        for name in ["bucket", *plain, "blob"]:
-            kind_ = pa.int32() if name == "bucket" else pa.binary() if name == "blob" else pa.float64() if name in ("base", "logs") else pa.int64()
-            arrays.append(pa.array(columns[name], kind_) if name in columns else pa.nulls(n, kind_))
-        return pa.RecordBatch.from_arrays(arrays, names=["kind", "bucket", *plain, "blob"])
+    def batch_of(kind: str, bucket: list[int], blob: list[bytes | None], n: list[int] | None = None) -> pa.RecordBatch:
+        columns = [pa.array([kind] * len(bucket)), pa.array(bucket, pa.int32()), pa.array(n or [None] * len(bucket), pa.int64()), pa.array(blob, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "n", "blob"])
 
     def run(batches):
         model = words.value
@@ -258,11 +264,8 @@ def _score_pairs(dealt: DataFrame, words, buckets: int) -> DataFrame:
         unseen: list[tuple[np.ndarray, ...]] = []
 
         def flush_docs():
-            n = len(docs.keys)
-            columns = {c: docs.rows[:, i].astype(np.int64) for i, c in enumerate(_SUMS)}
-            out = batch_of("doc", n, doc_id=docs.keys, **columns, base=docs.rows[:, -2], logs=docs.rows[:, -1])
-            docs.__init__(len(_SUMS) + 2)
-            return out
+            for b, blob in docs.packed(buckets):
+                yield batch_of("doc", [b], [blob])
 
         def flush_events():
             """Histories and unseen events of all buckets so far, by history bucket."""
@@ -273,7 +276,7 @@ def _score_pairs(dealt: DataFrame, words, buckets: int) -> DataFrame:
             part = (mix(names) % np.uint64(buckets)).astype(np.int64)
             for b in np.unique(part):
                 at = np.flatnonzero(part == b)
-                yield batch_of("history", 1, bucket=[b], blob=[_pack(names[at], *(s[at] for s in sums), mass[at])])
+                yield batch_of("history", [int(b)], [_pack(names[at], *(s[at] for s in sums), mass[at])])
             histories.clear()
             if unseen:
                 h, d, n = (np.concatenate(x) for x in zip(*unseen))
@@ -285,7 +288,7 @@ def _score_pairs(dealt: DataFrame, words, buckets: int) -> DataFrame:
                     used, local = np.unique(d[a:b], return_inverse=True)
                     at = np.concatenate([np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]])), [b - a]])
                     blob = _pack(h[a:b][at[:-1]], np.diff(at).astype(np.uint32), used, local.astype(np.uint32), n[a:b].astype(np.uint32))
-                    yield batch_of("unseen", 1, bucket=[int(part[a])], blob=[blob])
+                    yield batch_of("unseen", [int(part[a])], [blob])
                 unseen.clear()
 
         def one_bucket(blobs: list[bytes]) -> int:
@@ -335,7 +338,7 @@ def _score_pairs(dealt: DataFrame, words, buckets: int) -> DataFrame:
                     rows += one_bucket(held)
                     held = []
                     if len(docs.keys) > FLUSH_ROWS:
-                        yield flush_docs()
+                        yield from flush_docs()
                     if rows > 2 * FLUSH_ROWS:
                         yield from flush_events()
                         rows = 0
@@ -343,24 +346,22 @@ def _score_pairs(dealt: DataFrame, words, buckets: int) -> DataFrame:
                 held.append(blob)
         if held:
             one_bucket(held)
-        yield flush_docs()
+        yield from flush_docs()
         yield from flush_events()
-        yield batch_of("pairs", CUT + 1, bucket=list(range(1, CUT + 2)), n_tokens=pairs[1:])
+        yield batch_of("pairs", list(range(1, CUT + 2)), [None] * (CUT + 1), pairs[1:].tolist())
 
-    schema = "kind string, bucket int, doc_id long, " + ", ".join(f"{c} long" for c in _SUMS) + ", base double, logs double, blob binary"
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, "kind string, bucket int, n long, blob binary")
 
 
-def _back_off(stage: DataFrame, discount: np.ndarray) -> DataFrame:
-    """(doc_id, logs): what unseen pairs add for their histories."""
+def _back_off(stage: DataFrame, discount: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, blob): what unseen pairs add to documents for their histories."""
 
     def run(batches):
-        added = _Sums(1)
+        added = _Sums(len(_SUMS) + 2)
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(added.keys), pa.array(added.rows[:, 0])], names=["doc_id", "logs"])
-            added.__init__(1)
-            return out
+            for b, blob in added.packed(buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
         def one_bucket(parts: list[list[np.ndarray]], events: list[list[np.ndarray]]) -> None:
             if not events:
@@ -376,7 +377,9 @@ def _back_off(stage: DataFrame, discount: np.ndarray) -> DataFrame:
                 h = np.repeat(e[0], e[1].astype(np.int64))
                 at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
                 own = np.where(names[at] == h, weight[at], 0.0) if len(names) else np.zeros(len(h))
-                added.add(e[2], np.bincount(e[3], weights=own * e[4], minlength=len(e[2]))[:, None])
+                rows = np.zeros((len(e[2]), len(_SUMS) + 2))
+                rows[:, -1] = np.bincount(e[3], weights=own * e[4], minlength=len(e[2]))
+                added.add(e[2], rows)
 
         bucket, parts, events = None, [], []
         for batch in batches:
@@ -385,13 +388,38 @@ def _back_off(stage: DataFrame, discount: np.ndarray) -> DataFrame:
                     one_bucket(parts, events)
                     parts, events = [], []
                     if len(added.keys) > FLUSH_ROWS:
-                        yield flush()
+                        yield from flush()
                 bucket = b
                 (parts if kind == "history" else events).append(_unpack(blob))
         one_bucket(parts, events)
-        yield flush()
+        yield from flush()
+
+    return stage.mapInArrow(run, "bucket int, blob binary")
+
+
+def _documents(dealt: DataFrame) -> DataFrame:
+    """One row per document from all its packed sums."""
+
+    def one_bucket(blobs: list[bytes]) -> pa.RecordBatch:
+        parts = [_unpack(b) for b in blobs]
+        keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        sums = [np.bincount(inverse, weights=np.concatenate([p[c] for p in parts]), minlength=len(keys)) for c in range(1, len(_SUMS) + 3)]
+        columns = [keys, *(x.astype(np.int64) for x in sums[: len(_SUMS)]), *sums[len(_SUMS) :]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", *_SUMS, "base", "logs"])
+
+    def run(batches):
+        held, bucket = [], None
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b != bucket and held:
+                    yield one_bucket(held)
+                    held = []
+                bucket = b
+                held.append(blob)
+        if held:
+            yield one_bucket(held)
 
-    return stage.mapInArrow(run, "doc_id long, logs double")
+    return dealt.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _SUMS) + ", base double, logs double")
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -403,18 +431,17 @@ def score_texts(docs: DataFrame) -> DataFrame:
     level.begin = float(np.log10(rows.where("train").count() + 1))
     release(counts)
     words = spark.sparkContext.broadcast(level)
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    buckets = 16 * tasks
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    # many small parts of the large deal; fewer of what follows, as every task writes to each
+    buckets, later_buckets = 8 * tasks, 4 * tasks
     dealt = _deal_pairs(rows, words, buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    stage = store(_score_pairs(dealt, words, buckets), "pair-stage", partition_by=("kind",))
-    sums = stage.where("kind = 'pairs'").groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect()
+    stage = store(_score_pairs(dealt, words, later_buckets), "pair-stage", partition_by=("kind",))
+    sums = stage.where("kind = 'pairs'").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     discount = good_turing({r["bucket"]: r["n"] for r in sums})
     later = stage.where("kind in ('history', 'unseen')").select("bucket", "kind", "blob")
-    extra = _back_off(later.repartition(tasks, "bucket").sortWithinPartitions("bucket"), discount)
-    own = stage.where("kind = 'doc'").select("doc_id", *_SUMS, "base", "logs")
-    none = [F.lit(0).cast("long").alias(c) for c in _SUMS]
-    both = own.unionByName(extra.select("doc_id", *none, F.lit(0.0).alias("base"), "logs"))
-    total = both.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in (*_SUMS, "base", "logs")))
+    extra = _back_off(later.repartition(tasks, "bucket").sortWithinPartitions("bucket"), discount, later_buckets)
+    both = stage.where("kind = 'doc'").select("bucket", "blob").unionByName(extra)
+    total = _documents(both.repartition(tasks, "bucket").sortWithinPartitions("bucket"))
     seen = sum((F.col(f"k{r}") * F.lit(float(np.log10(discount[r] * r))) for r in range(1, CUT + 1)), F.lit(0.0))
     return total.select(
         "doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
