@@ -433,7 +433,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     words = spark.sparkContext.broadcast(level)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     # many small parts of the large deal; fewer of what follows, as every task writes to each
-    buckets, later_buckets = 8 * tasks, 4 * tasks
+    buckets, later_buckets = 8 * tasks, 2 * tasks
     dealt = _deal_pairs(rows, words, buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     stage = store(_score_pairs(dealt, words, later_buckets), "pair-stage", partition_by=("kind",))
     sums = stage.where("kind = 'pairs'").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
