@@ -7,10 +7,17 @@
    A node whose whole list reaches the threshold is saturated and its list is
    enlarged.  Rounds go on while they find links.
 3. Edges at or above the threshold (double precision) give the components.
-4. Inside a component every pair is counted exactly, in blocks of bounded size,
+4. A full list holds only the closest rows, so links between tight families may
+   lie outside it.  The search is therefore run again with lists that hold only
+   rows of other components (the old lists serve as ways), links found there
+   join components, and so on until a search finds none.  No list has to hold a
+   whole family, however large it is.
+5. Inside a component every pair is counted exactly, in blocks of bounded size,
    so link counts do not depend on list lengths.
-5. Recall is audited against brute force over all rows for a bounded set of
-   query vectors; below ``least_recall`` more cells and rounds follow.
+6. Recall is audited against brute force over all rows for a bounded set of
+   query vectors.  Links that an audit finds between components join them and
+   search and audit follow anew, until an audit misses nothing; if the last
+   audit stays below ``least_recall``, the run fails.
 
 Vectors that are null, zero, of another length than the first, or hold null or
 non-finite components link with nothing and are kept; equal vectors link; rows
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import release, store, table
 from .components import connected_components
 
-LIST, ENLARGED, TABLES, BLOCK, AUDIT = 8, 32, 6, 512, 256
+LIST, ENLARGED, TABLES, BLOCK, AUDIT, AUDITS = 8, 32, 6, 512, 256, 6
 
 
 def _matrix(column, dims: int, kind: str) -> np.ndarray:
@@ -64,14 +71,15 @@ def _cells(nodes: DataFrame, dims: int, bits: int, tables: int, seed: int) -> Da
             for t in range(tables):
                 code = ((x @ planes[t]) > 0) @ (1 << np.arange(bits)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(code + (t << 40)), batch.column("id"), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())],
-                    names=["cell", "id", "v"],
+                    [pa.array(code + (t << 40)), batch.column("id"), batch.column("c"), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())],
+                    names=["cell", "id", "c", "v"],
                 )
 
-    return nodes.select("id", "v").mapInArrow(run, "cell long, id long, v binary")
+    return nodes.select("id", "c", "v").mapInArrow(run, "cell long, id long, c long, v binary")
 
 
 def _start(nodes: DataFrame, dims: int, rows: int, k: int, seed: int) -> DataFrame:
+    """Edges to the best rows of other components (c) in small blocks of cells."""
     bits = max(1, int(np.ceil(np.log2(max(2, rows / 128)))))
     cells = store(_cells(nodes, dims, bits, TABLES, seed), "cells")
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -83,10 +91,12 @@ def _start(nodes: DataFrame, dims: int, rows: int, k: int, seed: int) -> DataFra
         take = min(k, len(ids) - 1)
         if take < 1:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "s": pa.array([], pa.float32())})
-        s = x @ x.T
-        np.fill_diagonal(s, -2)
+        s, own = x @ x.T, group.column("c").to_numpy()
+        s[own[:, None] == own] = -2
         at = np.argpartition(-s, take - 1, axis=1)[:, :take]
-        return pa.table({"a": np.repeat(ids, take), "b": ids[at].ravel(), "s": np.take_along_axis(s, at, 1).ravel()})
+        best = np.take_along_axis(s, at, 1).ravel()
+        apart = best > -2
+        return pa.table({"a": np.repeat(ids, take)[apart], "b": ids[at].ravel()[apart], "s": best[apart]})
 
     found = split.groupBy("cell", "part").applyInArrow(best, "a long, b long, s float")
     return found.groupBy("a", "b").agg(F.max("s").alias("s"))
@@ -99,26 +109,30 @@ def _best(edges: DataFrame, k: int, threshold: float) -> DataFrame:
     return ranked.where((F.col("r") <= k) | (F.col("s") >= threshold)).select("a", "b", "s")
 
 
-def _descend(graph: DataFrame, nodes: DataFrame, dims: int, k: int, threshold: float) -> DataFrame:
-    """One round: neighbours (either way) of each node are compared with each other."""
+def _descend(graph: DataFrame, kin: DataFrame | None, nodes: DataFrame, dims: int, k: int) -> DataFrame:
+    """One round: neighbours (either way) of each node, and its ``kin`` (edges
+    inside components), are compared with each other across components."""
     ways = graph.select("a", "b", "s").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).groupBy("a", "b").agg(F.max("s").alias("s"))
     order = Window.partitionBy("a").orderBy(F.desc("s"), F.xxhash64("b"))
     near = ways.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * k).select("a", "b")
+    if kin is not None:
+        own = graph.select("a").distinct()
+        near = near.unionByName(kin.join(own, "a", "left_semi").select("a", "b")).unionByName(own.select("a", F.col("a").alias("b"))).distinct()
     floor = graph.groupBy("a").agg(F.min("s").alias("floor")).select(F.col("a").alias("b"), "floor")
-    narrow = nodes.select(F.col("id").alias("b"), "v").join(floor, "b", "left")
-    groups = near.join(narrow, "b").groupBy("a").agg(F.collect_list(F.struct("b", "v", "floor")).alias("near"))
+    narrow = nodes.select(F.col("id").alias("b"), "c", "v").join(floor, "b", "left")
+    groups = near.join(narrow, "b").groupBy("a").agg(F.collect_list(F.struct("b", "c", "v", "floor")).alias("near"))
 
     def run(batches):
         for batch in batches:
             column = batch.column("near")
             flat, bounds = column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
-            ids = flat.field("b").to_numpy()
+            ids, own = flat.field("b").to_numpy(), flat.field("c").to_numpy()
             x = _matrix(flat.field("v"), dims, "<f8").astype(np.float32)
             floors = np.nan_to_num(flat.field("floor").to_numpy(zero_copy_only=False).astype(np.float32), nan=-2)
             a, b, s = [], [], []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 sim = x[lo:hi] @ x[lo:hi].T
-                np.fill_diagonal(sim, -3)
+                sim[own[lo:hi, None] == own[lo:hi]] = -3
                 i, j = np.nonzero(sim > floors[lo:hi, None])
                 a.append(ids[lo + i])
                 b.append(ids[lo + j])
@@ -176,29 +190,68 @@ def _count_links(members: DataFrame, dims: int, threshold: float) -> DataFrame:
     return dealt.groupBy("small", "bucket", "i", "j").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, components: DataFrame, dims: int, threshold: float) -> float:
-    """Share of brute-force links of AUDIT queries that lie inside a component."""
-    queries = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "v").collect()
-    if not queries:
-        return 1.0
-    q, names = np.frombuffer(b"".join(r["v"] for r in queries), "<f8").reshape(-1, dims), np.array([r["id"] for r in queries])
+def _search(nodes: DataFrame, kin: DataFrame | None, dims: int, rows: int, k: int, threshold: float, rounds: int, seed: int) -> DataFrame:
+    """NN-descent among different components: (a, b, s)."""
+    graph = store(_best(_start(nodes, dims, rows, k, seed), k, threshold), "graph")
+    known = graph.where(F.col("s") >= threshold).count()
+    for _ in range(rounds):
+        new = store(_best(_descend(graph, kin, nodes, dims, k), k, threshold), "graph")
+        release(graph)
+        graph, before = new, known
+        known = graph.where(F.col("s") >= threshold).count()
+        if known - before <= 0.01 * known:
+            break
+    return graph
+
+
+def _join(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` after links between components (a, b are components) joined them."""
+    joined = connected_components(links).withColumnRenamed("node", "c")
+    out = store(nodes.join(joined, "c", "left").select("id", "v", "copies", F.coalesce("component", "c").alias("c")), "nodes")
+    release(nodes)
+    return out
+
+
+def _closed(nodes: DataFrame, kin: DataFrame | None, dims: int, rows: int, k: int, threshold: float, rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Searches and joins until a search finds no link between components;
+    returns the nodes with their components, and the k best edges met inside."""
+    order = Window.partitionBy("a").orderBy(F.desc("s"), "b")
+    while True:
+        graph = _search(nodes, kin, dims, rows, k, threshold, rounds, seed)
+        links = store(_exact_edges(graph, nodes, threshold), "embedding-links")
+        if links.isEmpty():
+            release(links, graph)
+            return nodes, kin
+        left, right = (nodes.select(F.col("id").alias(c), F.col("c").alias(f"c{c}")) for c in "ab")
+        between = store(links.join(left, "a").join(right, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "component-links")
+        nodes = _join(nodes, between)
+        near = graph.where(F.col("s") >= threshold)
+        near = near if kin is None else near.unionByName(kin)
+        kin_ = store(near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("a", "b", "s"), "kin")
+        release(links, between, graph, *([] if kin is None else [kin]))
+        kin, seed = kin_, seed + 1
+
+
+def _audit(nodes: DataFrame, dims: int, threshold: float, turn: int) -> DataFrame:
+    """(a, b, n): brute-force links of AUDIT queries, counted by the components
+    of both ends; a row with a <> b holds missed links."""
+    queries = nodes.orderBy(F.xxhash64("id", F.lit(turn)), "id").limit(AUDIT).select("id", "v", "c").collect()
+    q = np.frombuffer(b"".join(r["v"] for r in queries), "<f8").reshape(-1, dims)
+    names, own = np.array([r["id"] for r in queries], np.int64), np.array([r["c"] for r in queries], np.int64)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, c = batch.column("id").to_numpy(), batch.column("c").to_numpy()
             i, j = np.nonzero(_matrix(batch.column("v"), dims, "<f8") @ q.T >= threshold)
             keep = ids[i] != names[j]
-            yield pa.RecordBatch.from_arrays([pa.array(names[j][keep]), pa.array(ids[i][keep])], names=["a", "b"])
+            ends, n = np.unique(np.stack([own[j[keep]], c[i[keep]]], 1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
 
-    links = nodes.select("id", "v").mapInArrow(run, "a long, b long")
-    left, right = (components.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    both = links.join(left, "a", "left").join(right, "b", "left").agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")).first()
-    return both["hit"] / both["n"] if both["n"] else 1.0
+    return store(nodes.select("id", "c", "v").mapInArrow(run, "a long, b long, n long"), "audit")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = LIST, least_recall: float = 0.98, rounds: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept and the audited recall."""
-    spark = rows.sparkSession
     vectors = store(_unit_vectors(rows), "vectors")
     first = vectors.where("v is not null").select(F.octet_length("v").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
     if first is None:
@@ -207,32 +260,24 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = LIST, leas
     usable = vectors.where((F.octet_length("v") == dims * 8) & F.col("vec_id").isNotNull())
     classes = store(usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     # two classes may share an id if rows do; the graph needs one vector an id
-    nodes = classes.groupBy("id").agg(F.min("v").alias("v"), F.sum("copies").alias("copies"))
+    nodes = classes.groupBy("id").agg(F.min("v").alias("v"), F.sum("copies").alias("copies")).withColumn("c", F.col("id"))
     nodes = store(nodes, "nodes")
-    count = nodes.count()
-    graph, recall, components = None, 0.0, spark.createDataFrame([], "node long, component long")
-    for attempt in range(3):
-        start = _start(nodes, dims, count, k, seed=5 + attempt)
-        start = start if graph is None else start.unionByName(graph).groupBy("a", "b").agg(F.max("s").alias("s"))
-        graph = store(_best(start, k, threshold), "graph")
-        known = graph.where(F.col("s") >= threshold).count()
-        for _ in range(rounds):
-            new = store(_best(_descend(graph, nodes, dims, k, threshold), k, threshold), "graph")
-            release(graph)
-            graph, before = new, known
-            known = graph.where(F.col("s") >= threshold).count()
-            if known - before <= 0.01 * known:
-                break
-        links = store(_exact_edges(graph, nodes, threshold), "embedding-links")
-        if not links.isEmpty():
-            components = connected_components(links)
-        recall = _audit(nodes, components, dims, threshold)
-        if recall >= least_recall:
+    count, kin, recall = nodes.count(), None, 1.0
+    for turn in range(AUDITS if count else 0):
+        nodes, kin = _closed(nodes, kin, dims, count, k, threshold, rounds, seed=5 + 100 * turn)
+        audit = _audit(nodes, dims, threshold, turn)
+        links, hits = audit.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0))).first()
+        recall = hits / links if links else 1.0
+        if hits == links:
             break
-    members = nodes.join(components.withColumnRenamed("node", "id"), "id")
+        nodes = _join(nodes, audit.where("a <> b").select("a", "b"))
+    if recall < least_recall:
+        raise RuntimeError(f"the last of {AUDITS} audits found {recall:.4f} of the links, {least_recall} are asked for")
+    linked = nodes.groupBy("c").count().where("count > 1").select("c")
+    members = nodes.join(linked, "c", "left_semi").select(F.col("c").alias("component"), "id", "v", "copies")
     links = store(_count_links(members, dims, threshold), "link-counts")
     named = (
-        classes.join(components.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left")
+        classes.join(nodes.select("id", F.col("c").alias("component")), "id", "left").join(links, "id", "left")
         .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
     return vectors.join(named, "v", "left").select(

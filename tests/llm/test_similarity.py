@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from ledgerloom.llm import jaccard, neighbours
 from ledgerloom.llm.components import connected_components
@@ -93,3 +94,37 @@ def test_neighbours_equal_brute_force(spark):
     assert got[480].component_id == 5 and got[479].component_id == 3 and got[5].kept and not got[480].kept
     assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 905))
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
+
+
+def _families(rng, families, size):
+    """Tight families (cosine about 0.99) in one true component: between them 0.92 to 0.96."""
+    base = rng.standard_normal(64)
+    base /= np.linalg.norm(base)
+    out = []
+    for _ in range(families):
+        side = rng.standard_normal(64)
+        side -= (side @ base) * base
+        centre = base + 0.25 * side / np.linalg.norm(side)
+        out.append(centre / np.linalg.norm(centre) + 0.0125 * rng.standard_normal((size, 64)))
+    return np.concatenate(out)
+
+
+def test_tight_families_are_joined(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([_families(rng, 2, 100), _families(rng, 10, 40), rng.standard_normal((300, 64))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in neighbours.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    assert links[:200].sum() > 200 * 150 and links[200:600].sum() > 400 * 250  # most cross pairs link
+    assert [got[i].n_links for i in range(len(x))] == links.sum(1).tolist()
+    assert {got[i].component_id for i in range(200)} == {0} and {got[i].component_id for i in range(200, 600)} == {200}
+    assert got[0].audited_recall == 1.0
+
+
+def test_low_recall_fails(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "AUDITS", 1)
+    monkeypatch.setattr(neighbours, "_closed", lambda nodes, kin, *a, **b: (nodes, kin))  # a search that finds nothing
+    rows = [(i, [1.0, 0.001 * i]) for i in range(20)]
+    with pytest.raises(RuntimeError, match="audits"):
+        neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
