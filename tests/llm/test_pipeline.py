@@ -34,3 +34,39 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert third.columns == names and {r.doc_id for r in third.collect()} == unique
     packed = pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == unique
+
+
+def brute_five_words(rows):
+    sets = {}
+    for i, text in rows:
+        words = text.lower().split()
+        n = min(5, len(words))
+        sets[i] = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+    first = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            both = len(sets[i] & sets[j])
+            if j < i and both and 10 * both >= 8 * len(sets[i] | sets[j]):
+                old, new = max(first[i], first[j]), min(first[i], first[j])
+                first = {k: new if v == old else v for k, v in first.items()}
+    return set(first.values())
+
+
+def test_near_copies_at_five_words(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(100)]
+        rows.append((10 * i, " ".join(words)))
+        for c in range(1, 5):  # c words changed far apart: Jaccard falls from 0.90 over 0.81 to below 0.8
+            words[20 * c] = f"changed{i}x{c}"
+            rows.append((10 * i + c, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in pipeline.STAGES[2][1](spark, docs, "").collect()}
+    assert kept == brute_five_words(rows) == {10 * i for i in range(40)}  # linked step by step
+    apart = [(d, t) for d, t in rows if d % 10 in (0, 2)]  # 5 words: 86 of 106, 3 words: 92 of 104, below 0.9
+    docs = spark.createDataFrame(apart, "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.STAGES[2][1](spark, docs, "").collect()} == brute_five_words(apart) == {10 * i for i in range(40)}
+    far = [(d, t) for d, t in rows if d % 10 in (0, 4)]  # 5 words: below 0.8
+    docs = spark.createDataFrame(far, "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.STAGES[2][1](spark, docs, "").collect()} == brute_five_words(far) == {d for d, _ in far}
