@@ -11,7 +11,9 @@ so the wrapper also names the container that holds the host's varying text.
 
 A page's main text is what lies in its article (or main) element, else in the
 wrapper's main container, else in the body; menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are left out.
+notices, adverts, forms, scripts, styles and reader comments are left out.  Part
+of a class or id does not leave out body, article or main; a whole one that names
+a comment or teaser leaves out an article.  Formulas keep their text.
 ``matched`` says whether the page's own stream matches its host's wrapper.
 
 Null and empty html give an empty text; a null or broken url is a host of its
@@ -41,11 +43,11 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
-RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|video|audio"
+RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|canvas|video|audio"
 CLOSES_P = BLOCKS - {"body", "html", "option", "optgroup", "tbody", "thead", "tfoot", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # What is no main text.
-LEFT_OUT_TAGS = frozenset("nav footer aside form button select menu dialog head".split())
+LEFT_OUT_TAGS = frozenset("nav footer aside form button select menu dialog head annotation annotation-xml".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 LEFT_OUT_NAMES = re.compile(
     r"(?:^|[-_ ])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|notification\w*|newsletter\w*"
@@ -53,6 +55,12 @@ LEFT_OUT_NAMES = re.compile(
     r"|commentlist|disqus\w*|respond|repl(?:y|ies)|footer\w*|popup\w*|modal\w*|toolbar\w*|paginat\w*|widget\w*|skip|login|signup)(?:$|[-_ ])",
     re.I,
 )
+# An article or main element is left out only by a whole class or id.
+LEFT_OUT_ARTICLES = re.compile(
+    r"(?:post|article|user)?[-_]?(?:comments?|commentlist|comment[-_](?:body|item|content)|repl(?:y|ies)|respond|teasers?)"
+    r"|(?:related|recommended|promo|sponsored)(?:[-_](?:posts?|articles?|items?))?",
+    re.I,
+)
 OUTER_NAMES = re.compile(r"(?:^|[-_ ])(?:header\w*|masthead|topbar)(?:$|[-_ ])", re.I)
 
 TOKEN = re.compile(
@@ -115,7 +123,7 @@ class Page:
             self.buffer.append(" " if name != "wbr" else "")
         if name in BLOCKS:
             self._flush()
-        if name in VOID:
+        if name in VOID or (rest.endswith("/") and any(s[0] == "math" for s in self.stack)):
             return
         if name in CLOSES_P and any(s[0] == "p" for s in self.stack):
             self._close("p", "")
@@ -131,16 +139,20 @@ class Page:
                 found[(hidden or key).lower()] = a or b or c
         names, role = f"{found.get('class', '')} {found.get('id', '')}".strip(), found.get("role", "").lower()
         main = name in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"
+        if main:
+            named = any(map(LEFT_OUT_ARTICLES.fullmatch, names.split()))
+        else:
+            named = name not in ("html", "body") and bool(names and LEFT_OUT_NAMES.search(names))
         up = self.stack[-1] if self.stack else ("", False, 0, "")
-        if main and up[1] and not LEFT_OUT_NAMES.search(names):
+        if main and up[1] and not named:
             # an element left open before the article does not swallow it
             while self.stack and self.stack[-1][1]:
                 self._pop()
             up = self.stack[-1] if self.stack else ("", False, 0, "")
         rank = max(up[2], (2 if name == "article" or found.get("itemprop") == "articleBody" else 1) if main else 0)
         out = up[1] or name in LEFT_OUT_TAGS or role in LEFT_OUT_ROLES or "hidden" in found
-        out = out or (name == "header" and rank < 2) or bool(names and LEFT_OUT_NAMES.search(names))
-        out = out or bool(names and rank < 2 and name != "body" and OUTER_NAMES.search(names))
+        out = out or (name == "header" and rank < 2) or named
+        out = out or bool(names and rank < 2 and not main and name not in ("html", "body") and OUTER_NAMES.search(names))
         path = up[3]
         if name in ("body", "div", "section", "article", "main", "td"):
             path = f"{path}/{name}" + (f".{re.sub('[0-9]+', 'N', names.split()[0])}" if names else "")

@@ -106,3 +106,13 @@ def test_extraction_by_wrapper(spark):
         assert got[i].text == "\n".join([f"Story {i} is here", *["and more"] * (i % 3)]) and got[i].n_chars == len(got[i].text)
     assert got[50].text == got[51].text == "" and got[52].text == got[0].text
     assert wrappers.extract(df.limit(0), wrappers.infer_wrappers(df.limit(0))).count() == 0
+
+
+def test_names_do_not_leave_out_whole_articles():
+    for kind in ("post category-social-media", "tag-promo", "hentry sidebar-none"):
+        assert text_of(f"<body><div class='menu'>Menu</div><article class='{kind}'><p>Long text.</p></article></body>") == "Long text."
+    assert text_of("<html class='nav'><body class='has-sidebar'><div><p>Body text.</p></div></body></html>") == "Body text."
+    assert text_of("<body><main class='related-wrap'><p>Main.</p><article class='comment odd'><p>Reader.</p></article></main></body>") == "Main."
+    assert text_of("<body><article class='post'><div class='social-media'>Share</div><p>Kept.</p></article></body>") == "Kept."
+    formula = "<math><mi>x</mi><mspace/><mo>=</mo><mn>2</mn><annotation encoding='tex'>x \\eq 2</annotation></math>"
+    assert text_of(f"<body><article><p>So {formula} holds.</p></article></body>") == "So x=2 holds."
