@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..schemas import INCOME7, RECORD
 
 DEDUCTIONS = ["section_179_deduction", "foreign_taxes_paid", "qbi_deduction"]
+#: Most ground-truth strings of one broadcast.
+MOST_LABELS = 100_000
 
 
 def with_analysis(records: DataFrame) -> DataFrame:
@@ -58,8 +60,11 @@ def comparison(spans: DataFrame) -> DataFrame:
 
 def recall(texts: DataFrame, truth: DataFrame) -> DataFrame:
     """Share of ground-truth strings found in each text; ``truth`` is the short
-    list of labels, whatever the number of texts."""
-    hits = texts.crossJoin(F.broadcast(truth.limit(1000))).withColumn("hit", F.col("text").contains(F.col("expected")))
+    list of labels, whatever the number of texts.  It is broadcast whole; more
+    than MOST_LABELS rows are an error."""
+    if truth.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} ground-truth strings")
+    hits = texts.crossJoin(F.broadcast(truth)).withColumn("hit", F.col("text").contains(F.col("expected")))
     keys = [c for c in texts.columns if c != "text"]
     return hits.groupBy(*keys).agg(F.count_if("hit").alias("hits"), F.count("*").alias("total"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
 
