@@ -13,7 +13,8 @@ task that is lost and run again leaves no doubt.
 
 Null and empty texts hold only the end id; a document longer than a frame's
 aim has a frame of its own; equal rows are written once each; an empty table
-gives an empty manifest; other columns are not read.
+gives an empty manifest; other columns are not read.  Rows with a null doc_id
+are not written, as the document index has no key for them.
 """
 
 from __future__ import annotations

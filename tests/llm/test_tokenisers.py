@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerloom.llm.packing import nnls, pack, plan
+from ledgerloom.llm import seekable
 from ledgerloom.llm.seekable import SeekableReader, SeekableWriter, read_token_files, write_token_files
 from ledgerloom.llm.sentencepieces import CharMap, Normaliser, PieceEncoder, encode_pieces
 from ledgerloom.llm.tokens import BpeEncoder
@@ -158,3 +159,10 @@ def test_packing_covers_all_documents(spark, edge, nothing):
         parts.sort()
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 64
     assert pack(nothing, BPE).count() == 0
+
+
+def test_token_files_leave_out_null_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "no id"), (3, "three"), (None, None)], "doc_id long, text string")
+    manifest = write_token_files(docs, BPE, f"file://{tmp_path}/nulls")
+    assert [r.doc_id for r in read_token_files(manifest).collect()] == [3]
+    assert "null doc_id" in seekable.__doc__
