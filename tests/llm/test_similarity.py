@@ -73,6 +73,57 @@ def test_edge_cases(spark, edge, nothing):
     assert sorted(k for k in kept if k) == [1, 2, 3, 4, 5, 6, 7, 11, 12, 50] and None in kept
 
 
+def _just_below(copies, words=100, changed=6, families=1):
+    """Copies of texts, each with words of its own at so many random places:
+    two copies of one text differ in about twice as many."""
+    rng, out = np.random.default_rng(9), []
+    for f in range(families):
+        base = [f"f{f}w{i}" for i in range(words)]
+        for c in range(copies):
+            own = list(base)
+            for at in rng.choice(words, rng.integers(1, changed), replace=False):
+                own[at] = f"x{rng.integers(1, 400)}"
+            out.append(" ".join(own))
+    return list(enumerate(out))
+
+
+def brute_by_matrix(rows, percent, n=3):
+    sets = [{tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for _, t in rows]
+    at = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [at[x] for x in s]] = 1
+    size, own = m.sum(1), np.arange(len(sets))
+    both = m @ m.T
+    link = 100 * both >= percent * (size[:, None] + size - both)
+    while True:
+        new = np.array([own[row].min() for row in link])
+        if (new == own).all():
+            return {k: (len(s), int(c)) for (k, _), s, c in zip(rows, sets, own)}
+        own = new
+
+
+@pytest.mark.parametrize("percent,families,copies", [(90, 1, 2000), (90, 40, 25), (94, 3, 150)])
+def test_copies_just_below_the_threshold(spark, monkeypatch, percent, families, copies):
+    corpus = _just_below(copies, families=families)
+    asked = []
+    links = jaccard._links
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 300)
+    monkeypatch.setattr(jaccard, "_links", lambda *a: (found := links(*a), asked.append(found[1]))[0])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(corpus, "doc_id long, text string"), percent).collect()}
+    want = brute_by_matrix(corpus, percent)
+    assert got == want and 10 < len({c for _, c in want.values()}) < len(corpus)
+    assert sum(asked) < 20 * len(corpus)  # of nearly copies ** 2 / 2 pairs in each family
+
+
+def test_one_id_with_two_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    rows = [(5, a), (5, b), (6, a + " end"), (7, b + " end"), (8, "other words here"), (None, a)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id)
+    assert got == [(5, 58, 5), (5, 58, 5), (6, 59, 5), (7, 59, 5), (8, 1, 8)]
+
+
 def test_component_rounds(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(chain).collect()}
