@@ -1,17 +1,18 @@
 """Operator 5 - best-fit packing by patterns and non-negative least squares.
 
 Pieces of at most ``capacity`` tokens are packed into sequences from their
-length histogram alone: few-piece patterns that fill a sequence are enumerated,
-their repeat counts are fitted to the histogram by non-negative least squares,
-rounded down to what the histogram holds, and the residual lengths are packed
-by best fit, largest first, a whole run of equal lengths at a time.  The plan
-is a table of (length, rank range) -> (sequence, offset) whose size depends on
-the capacity and not on the number of documents.
+length histogram alone: patterns that no further piece fits into are
+enumerated, their repeat counts are fitted to the histogram by non-negative
+least squares, rounded down to what the histogram holds, and the residual
+lengths are packed by best fit, largest first, a whole run of equal lengths at
+a time.  A fit counts only if it needs no more sequences than best fit alone.
+The plan is a table of (length, rank range) -> (sequence, offset) whose size
+depends on the capacity and not on the number of documents.
 
 Null and empty texts are one piece that holds only the end id; documents longer
 than the capacity are cut from the right, so only the first piece is shorter;
-repeated rows are packed as rows of their own; an empty table gives no rows;
-other columns are not read.
+repeated rows and rows without an id are packed as rows of their own; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ from .common import store, table
 from .tokens import CACHE_CHUNKS, SLICE, BpeEncoder, slices
 
 CAPACITY = 2048
-#: Lengths that may stand in enumerated patterns and patterns tried per round; bound the plan.
+#: Lengths that open patterns and patterns tried in a round.  They bound the fit,
+#: not what is packed: best fit takes whatever the patterns leave.
 PATTERN_LENGTHS, PATTERNS = 160, 1500
+#: Rows of (task, length) counts that are broadcast to the pieces; more are merged by key.
+BROADCAST_ROWS = 500_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 200) -> np.ndarray:
@@ -52,32 +56,49 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 200) -> np.ndarray:
 
 
 def patterns(lengths: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
-    """Patterns of two to four pieces of the given lengths, fullest first."""
-    common = sorted(sorted(lengths, key=lambda n: -lengths[n])[:PATTERN_LENGTHS])
-    have, found = set(lengths), set()
-    full = sorted(have)
+    """Patterns into which no further piece fits, least waste first: one or two
+    common lengths, one of them repeated, and the longest pieces that still fit."""
+    full = sorted(lengths)
+    common = sorted(lengths, key=lambda n: (-n * lengths[n], n))[:PATTERN_LENGTHS]
+    found = set()
 
-    def close(rest: int) -> int | None:
-        at = bisect.bisect_right(full, rest)
-        return full[at - 1] if at else None
+    def close(parts: list[int]) -> None:
+        """The pattern with its rest closed by the longest pieces that fit."""
+        rest = capacity - sum(parts)
+        while rest >= full[0]:
+            n = full[bisect.bisect_right(full, rest) - 1]
+            parts, rest = parts + [n] * (rest // n), rest % n
+        need = Counter(parts)
+        if all(c <= lengths[n] for n, c in need.items()):
+            found.add(tuple(sorted(parts, reverse=True)))
 
     for i, a in enumerate(common):
-        if (b := close(capacity - a)) is not None:
-            found.add(tuple(sorted((a, b), reverse=True)))
-        for j in range(i + 1):
-            b = common[j]
-            if a + b >= capacity:
-                break
-            if (c := close(capacity - a - b)) is not None:
-                found.add(tuple(sorted((a, b, c), reverse=True)))
-                if c < capacity - a - b and (d := close(capacity - a - b - c)) is not None:
-                    found.add(tuple(sorted((a, b, c, d), reverse=True)))
-    return sorted(found, key=lambda p: (sum(p) - capacity, p))[:PATTERNS]
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+        close([a])
+        close([a] * (capacity // a))
+        for b in common[: i + 1]:
+            if a + b <= capacity:
+                close([a, b])
+                close([a] + [b] * ((capacity - a) // b))
+                close([b] + [a] * ((capacity - b) // a))
+    return sorted(found, key=lambda p: (capacity - sum(p), len(p), p))[:PATTERNS]
+
+
+Segment = tuple[int, int, int, int, int]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Segment]:
     """(length, first rank, count, first sequence, offset) segments that place
     every piece of the histogram once."""
+    plans = [_plan(histogram, capacity, waste) for waste in (capacity, 0, -1)]
+    return min(plans, key=_sequences)  # with patterns where that costs nothing
+
+
+def _sequences(segments: list[Segment]) -> int:
+    return max((first + count for _, _, count, first, _ in segments), default=0)
+
+
+def _plan(histogram: dict[int, int], capacity: int, waste: int) -> list[Segment]:
+    """A plan with patterns of at most so much waste (below 0: none)."""
     left = {n: c for n, c in histogram.items() if c}
     taken: Counter = Counter()
     segments, sequence = [], 0
@@ -94,7 +115,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         put(capacity, count, sequence, 0)
         sequence += count
     for _ in range(3):
-        options = [p for p in patterns(left, capacity) if all(left.get(n, 0) >= c for n, c in Counter(p).items())]
+        options = [p for p in patterns(left, capacity) if capacity - sum(p) <= waste] if left and waste >= 0 else []
         if not options:
             break
         rows = sorted({n for p in options for n in p})
@@ -105,7 +126,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
                 a[at[n], k] += 1
         weight = np.array([n / capacity for n in rows])  # long pieces matter most
         fit = nnls(a * weight[:, None], np.array([left[n] for n in rows]) * weight)
-        for k in sorted(range(len(options)), key=lambda k: (sum(options[k]) < capacity, -fit[k])):
+        for k in sorted(range(len(options)), key=lambda k: (capacity - sum(options[k]), -fit[k])):
             need = Counter(options[k])
             repeat = min([int(fit[k]), *(left.get(n, 0) // c for n, c in need.items())])
             if repeat < 1:
@@ -206,7 +227,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     shared = spark.sparkContext.broadcast(packed)
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(offsets, ["block", "length"])
+    few = counts.count() <= BROADCAST_ROWS
+    ranked = pieces.join(F.broadcast(offsets) if few else offsets.hint("merge"), ["block", "length"])
 
     def place(batches):
         rows = shared.value

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerloom.llm.packing import nnls, pack, plan
-from ledgerloom.llm import seekable
+from ledgerloom.llm import packing, seekable
 from ledgerloom.llm.seekable import SeekableReader, SeekableWriter, read_token_files, write_token_files
 from ledgerloom.llm.sentencepieces import CharMap, Normaliser, PieceEncoder, encode_pieces
 from ledgerloom.llm.tokens import BpeEncoder
@@ -136,6 +136,15 @@ def test_plan_is_near_the_lower_bound():
     assert used <= 1.01 * sum(n * c for n, c in histogram.items()) / 2048 + 1
 
 
+@pytest.mark.parametrize("low,high,pieces", [(3, 3, 100_000), (20, 60, 20_000), (50, 200, 20_000), (100, 400, 20_000), (1, 2048, 20_000)])
+def test_patterns_never_cost_sequences(low, high, pieces):
+    lengths = np.random.default_rng(2).integers(low, high + 1, pieces)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
+    fitted, plain = packing._plan(histogram, 2048, 2048), packing._plan(histogram, 2048, -1)
+    assert check_plan(histogram, 2048) <= packing._sequences(plain)
+    assert fitted != plain or low == high  # the fit does place pieces
+
+
 def test_least_squares_stays_non_negative():
     a, b = np.array([[1.0, 1.0], [0.0, 1.0]]), np.array([1.0, 3.0])
     x = nnls(a, b)
