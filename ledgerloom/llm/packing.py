@@ -3,8 +3,8 @@
 Pieces of at most ``capacity`` tokens are packed into sequences from their
 length histogram alone: patterns that no further piece fits into are
 enumerated, their repeat counts are fitted to the histogram by non-negative
-least squares, rounded down to what the histogram holds, and the residual
-lengths are packed by best fit, largest first, a whole run of equal lengths at
+least squares, rounded up, largest first, as far as the histogram holds them,
+and the residual lengths are packed by best fit, largest first, a whole run of equal lengths at
 a time.  A fit counts only if it needs no more sequences than best fit alone.
 The plan is a table of (length, rank range) -> (sequence, offset) whose size
 depends on the capacity and not on the number of documents.
@@ -18,6 +18,7 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections import Counter
 
@@ -128,7 +129,7 @@ def _plan(histogram: dict[int, int], capacity: int, waste: int) -> list[Segment]
         fit = nnls(a * weight[:, None], np.array([left[n] for n in rows]) * weight)
         for k in sorted(range(len(options)), key=lambda k: (capacity - sum(options[k]), -fit[k])):
             need = Counter(options[k])
-            repeat = min([int(fit[k]), *(left.get(n, 0) // c for n, c in need.items())])
+            repeat = min([math.ceil(fit[k] - 0.01), *(left.get(n, 0) // c for n, c in need.items())])
             if repeat < 1:
                 continue
             offset = 0
