@@ -6,14 +6,21 @@ streams of a host are counted once, and the different ones are aligned one
 after the other: common tokens stay, a mismatch that repeats the group before
 it makes that group repeated, any other becomes an optional group.  The result
 is a union-free regular expression, the host's wrapper, that every page of the
-host matches.  The same pass sums text and link characters of every container,
-so the wrapper also names the container that holds the host's varying text.
+host matches.  The same pass follows each text slot of the template (its block
+elements with their classes; the turns of a repeated group are one slot) and
+each container: the wrapper names the container that holds the host's varying
+text, and its fixed slots, which hold one and the same text on all of three or
+more pages.  A host whose pages are mostly fixed has copies, not a template, and
+no fixed slots.
 
 A page's main text is what lies in its article (or main) element, else in the
-wrapper's main container, else in the body; menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are left out.  Part
-of a class or id does not leave out body, article or main; a whole one that names
-a comment or teaser leaves out an article.  Formulas keep their text.
+wrapper's main container, else in the body, without the wrapper's fixed slots;
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments are left out by element, role or name, since their text varies
+from page to page as an article's does.  Inside an article only whole classes
+and ids count, outside also parts of them; body, article and main are left out
+by neither, but an article by a whole one that names a comment or teaser.
+Formulas keep their text; where all text stands in a form, the form is kept.
 ``matched`` says whether the page's own stream matches its host's wrapper.
 
 Null and empty html give an empty text; a null or broken url is a host of its
@@ -43,18 +50,27 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|canvas|video|audio"
+RAW = "script|style|noscript|template|textarea|title|iframe"
+EMBEDDED = "svg|object|canvas|video|audio"
 CLOSES_P = BLOCKS - {"body", "html", "option", "optgroup", "tbody", "thead", "tfoot", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # What is no main text.
-LEFT_OUT_TAGS = frozenset("nav footer aside form button select menu dialog head annotation annotation-xml".split())
-LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+LEFT_OUT_TAGS = frozenset("nav footer aside button select menu dialog head annotation annotation-xml".split())
+LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 LEFT_OUT_NAMES = re.compile(
     r"(?:^|[-_ ])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|notification\w*|newsletter\w*"
     r"|subscri\w*|sidebar\w*|side|menu\w*|nav|navbar\w*|navigation|breadcrumbs?|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|comments?"
     r"|commentlist|disqus\w*|respond|repl(?:y|ies)|footer\w*|popup\w*|modal\w*|toolbar\w*|paginat\w*|widget\w*|skip|login|signup)(?:$|[-_ ])",
     re.I,
 )
+# Inside an article a class or id is left out as a whole, with usual beginnings and ends.
+LEFT_OUT_INSIDE = re.compile(
+    r"(?:(?:post|article|entry|user|site|page|js|wp)[-_])?(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|notification\w*"
+    r"|newsletter|subscri\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|shar(?:e|ing)|social|related|recommend(?:ed|ations?)|comments?|commentlist"
+    r"|disqus\w*|respond|repl(?:y|ies)|footer|popup|modal|toolbar|paginat(?:ion|or)|widget|skip|login|signup)"
+    r"(?:[-_](?:box|block|bar|list|links?|buttons?|area|wrap|wrapper|container|section|widget|items?|posts?|articles?|form|media|inner|content|title|thread|slot|unit|[0-9]+))*",
+    re.I,
+)
 # An article or main element is left out only by a whole class or id.
 LEFT_OUT_ARTICLES = re.compile(
     r"(?:post|article|user)?[-_]?(?:comments?|commentlist|comment[-_](?:body|item|content)|repl(?:y|ies)|respond|teasers?)"
@@ -63,21 +79,30 @@ LEFT_OUT_ARTICLES = re.compile(
 )
 OUTER_NAMES = re.compile(r"(?:^|[-_ ])(?:header\w*|masthead|topbar)(?:$|[-_ ])", re.I)
 
+#: Parts in which a host's streams are merged, step by step.
+MERGES = (256, 16, 1)
+
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|$)"
+    rf"|<(?:{EMBEDDED})(?=[\s/>])[^>]*/>|<(?P<media>{EMBEDDED})(?=[\s/>])[^>]*>.*?</(?P=media)\s*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
 
 
+NO_ELEMENT = ("", False, 0, "", "", False)
+
+
 class Page:
     """Blocks, containers and the block-tag stream of one page."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, int, str, int]] = []  # container, depth of main, text, link characters
+        self.blocks: list[tuple[str, int, str, int, str]] = []  # container, depth of main, text, link characters, slot
+        self.in_forms: list[tuple[str, int, str, int, str]] = []
         self.stream: list[str] = []
-        self.stack: list[tuple[str, bool, int, str]] = []  # name, left out, main rank, path
+        # name, left out, main rank, path of containers, path of all blocks, in a form only
+        self.stack: list[tuple[str, bool, int, str, str, bool]] = []
         self.buffer: list[str] = []
         self.links = 0
         at = 0
@@ -107,8 +132,8 @@ class Page:
         if self.buffer:
             text = " ".join(html_lib.unescape("".join(self.buffer)).split())
             if text:
-                rank, path = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (0, "")
-                self.blocks.append((path, rank, text, self.links))
+                _, _, rank, path, slot, form = self.stack[-1] if self.stack else NO_ELEMENT
+                (self.in_forms if form else self.blocks).append((path, rank, text, self.links, slot))
                 if self.stream[-1:] != ["#"]:
                     self.stream.append("#")
         self.buffer, self.links = [], 0
@@ -119,8 +144,8 @@ class Page:
             self.stream.append(f"/{name}")
 
     def _open(self, name: str, rest: str) -> None:
-        if name in ("br", "td", "th", "img", "wbr"):
-            self.buffer.append(" " if name != "wbr" else "")
+        if name in ("br", "td", "th"):
+            self.buffer.append(" ")
         if name in BLOCKS:
             self._flush()
         if name in VOID or (rest.endswith("/") and any(s[0] == "math" for s in self.stack)):
@@ -141,22 +166,27 @@ class Page:
         main = name in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"
         if main:
             named = any(map(LEFT_OUT_ARTICLES.fullmatch, names.split()))
+        elif self.stack and self.stack[-1][2]:
+            named = any(map(LEFT_OUT_INSIDE.fullmatch, names.split()))
         else:
             named = name not in ("html", "body") and bool(names and LEFT_OUT_NAMES.search(names))
-        up = self.stack[-1] if self.stack else ("", False, 0, "")
-        if main and up[1] and not named:
+        up = self.stack[-1] if self.stack else NO_ELEMENT
+        if main and (up[1] or up[5]) and not named:
             # an element left open before the article does not swallow it
-            while self.stack and self.stack[-1][1]:
+            while self.stack and (self.stack[-1][1] or self.stack[-1][5]):
                 self._pop()
-            up = self.stack[-1] if self.stack else ("", False, 0, "")
+            up = self.stack[-1] if self.stack else NO_ELEMENT
         rank = max(up[2], (2 if name == "article" or found.get("itemprop") == "articleBody" else 1) if main else 0)
         out = up[1] or name in LEFT_OUT_TAGS or role in LEFT_OUT_ROLES or "hidden" in found
-        out = out or (name == "header" and rank < 2) or named
+        out = out or (name == "header" and rank < 2) or named or (name == "form" and rank > 0)
         out = out or bool(names and rank < 2 and not main and name not in ("html", "body") and OUTER_NAMES.search(names))
-        path = up[3]
+        form = up[5] or (name == "form" and not up[2])
+        path, slot = up[3], up[4]
+        if name in BLOCKS:
+            slot = f"{slot}/{name}" + (f".{re.sub('[0-9]+', 'N', names.split()[0])}" if names else "")
         if name in ("body", "div", "section", "article", "main", "td"):
             path = f"{path}/{name}" + (f".{re.sub('[0-9]+', 'N', names.split()[0])}" if names else "")
-        self.stack.append((name, out, rank, path))
+        self.stack.append((name, out, rank, path, slot, form))
         if name in BLOCKS:
             self.stream.append(name + (f".{re.sub('[0-9]+', 'N', names)}" if names else ""))
 
@@ -168,18 +198,30 @@ class Page:
                 self._pop()
             self._pop()
 
-    def main_text(self, container: str | None) -> str:
-        best = max((rank for _, rank, _, _ in self.blocks), default=0)
-        kept = [t for _, rank, t, _ in self.blocks if rank == best] if best else None
+    def main_text(self, container: str | None, fixed: frozenset[str] = frozenset()) -> str:
+        blocks = self.blocks or self.in_forms
+        best = max((block[1] for block in blocks), default=0)
+        kept = [x for x in blocks if x[1] == best] if best else None
         if kept is None and container:
-            kept = [t for path, _, t, _ in self.blocks if path == container or path.startswith(f"{container}/")]
-        return "\n".join(kept or [t for _, _, t, _ in self.blocks])
+            kept = [x for x in blocks if x[0] == container or x[0].startswith(f"{container}/")]
+        return "\n".join(x[2] for x in kept or blocks if x[4] not in fixed)
 
 
 # A wrapper is a list of nodes: a tag, "#" (a text slot), ["+", nodes] or ["?", nodes].
-def fold(nodes: list, longest: int = 12) -> list:
-    """Tandem repeats become one repeated group, shortest groups first."""
-    for size in range(1, min(longest, len(nodes) // 2) + 1):
+def fold(nodes: list) -> list:
+    """Tandem repeats become one repeated group, shortest groups first; a repeat
+    is as long as the way from one of its nodes to the next equal one."""
+    size = 0
+    while True:
+        last: dict[str, int] = {}
+        ways = set()
+        for i, node in enumerate(nodes):
+            key = node if isinstance(node, str) else json.dumps(node)
+            ways.add(i - last.get(key, i))
+            last[key] = i
+        size = min((d for d in ways if size < d <= len(nodes) // 2), default=0)
+        if not size:
+            return nodes
         out, i = [], 0
         while i < len(nodes):
             group = nodes[i : i + size]
@@ -193,7 +235,6 @@ def fold(nodes: list, longest: int = 12) -> list:
             else:
                 i += size  # one more turn of the group before
         nodes = out
-    return nodes
 
 
 def _bare(node):
@@ -268,7 +309,8 @@ def _host(url: str | None) -> str:
 
 
 def _observe(pages: DataFrame) -> DataFrame:
-    """(host, kind, key) with sums: kind w is a folded stream, kind c a container."""
+    """(host, kind, key) with sums: kind w is a folded stream, kind c a container,
+    kind s a text slot."""
 
     def run(batches):
         for batch in batches:
@@ -276,11 +318,12 @@ def _observe(pages: DataFrame) -> DataFrame:
             for url, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host, page = _host(url), Page(text or "")
                 seen = {("w", json.dumps(fold(page.stream))): [1, 0, 0, 0, 0]}
-                for path, _, words, links in page.blocks:
+                for path, _, words, links, slot in page.blocks or page.in_forms:
                     mark = xxhash.xxh3_64_intdigest(words) >> 1
-                    own = seen.setdefault(("c", path), [1, 0, 0, mark, mark])
-                    own[1], own[2] = own[1] + len(words), own[2] + links
-                    own[3], own[4] = min(own[3], mark), max(own[4], mark)
+                    for key in (("c", path), ("s", slot)):
+                        own = seen.setdefault(key, [1, 0, 0, mark, mark])
+                        own[1], own[2] = own[1] + len(words), own[2] + links
+                        own[3], own[4] = min(own[3], mark), max(own[4], mark)
                 for key, own in seen.items():
                     total = sums.setdefault((host, *key), [0, 0, 0, own[3], own[4]])
                     total[:3] = [x + y for x, y in zip(total[:3], own[:3])]
@@ -294,7 +337,8 @@ def _observe(pages: DataFrame) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (as JSON) and main (its container of varying text)."""
+    """host, wrapper (as JSON), main (its container of varying text) and fixed
+    (its slots that always hold the same text)."""
     seen = store(_observe(pages), "page-streams")
 
     def merge(group: pa.Table) -> pa.Table:
@@ -302,12 +346,18 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         found = json.dumps(infer([json.loads(k) for k, _ in rows]))
         return pa.table({"host": group.column("host")[:1], "key": [found], "pages": pa.array([sum(n for _, n in rows)], pa.int64())})
 
-    streams = seen.where("kind = 'w'").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)))
-    partial = streams.groupBy("host", "salt").applyInArrow(merge, "host string, key string, pages long")
-    whole = partial.groupBy("host").applyInArrow(merge, "host string, key string, pages long")
+    whole = seen.where("kind = 'w'").select("host", "key", "pages")
+    for parts in MERGES:  # a hot host's streams meet in steps
+        salted = whole.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(parts)))
+        whole = salted.groupBy("host", "salt").applyInArrow(merge, "host string, key string, pages long")
     score = F.when((F.col("lo") == F.col("hi")) & (F.col("pages") > 2), F.lit(0)).otherwise(F.col("chars") - 2 * F.col("links"))
     main = seen.where("kind = 'c'").groupBy("host").agg(F.max_by("key", F.struct(score.alias("s"), "key")).alias("main"))
-    return store(whole.select("host", F.col("key").alias("wrapper")).join(main, "host", "left"), "wrappers")
+    is_fixed = (F.col("lo") == F.col("hi")) & (F.col("pages") > 2)
+    slots = seen.where("kind = 's'").groupBy("host").agg(
+        F.collect_list(F.when(is_fixed, F.col("key"))).alias("fixed"), F.sum(F.when(is_fixed, F.col("chars")).otherwise(0)).alias("same"), F.sum("chars").alias("every")
+    )
+    fixed = slots.where(2 * F.col("same") < F.col("every")).select("host", "fixed")
+    return store(whole.select("host", F.col("key").alias("wrapper")).join(main, "host", "left").join(fixed, "host", "left"), "wrappers")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -319,12 +369,12 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
         known: dict[str, list] = {}
         for batch in batches:
             html = batch.column("html").to_pylist()
-            wrapper, main = batch.column("wrapper").to_pylist(), batch.column("main").to_pylist()
+            wrapper, main, fixed = (batch.column(c).to_pylist() for c in ("wrapper", "main", "fixed"))
             for lo, hi in slices(html):
                 texts, fits = [], []
                 for i in range(lo, hi):
                     page = Page(html[i] or "")
-                    texts.append(page.main_text(main[i]))
+                    texts.append(page.main_text(main[i], frozenset(fixed[i] or ())))
                     if wrapper[i] not in known:
                         if len(known) > 200:
                             known.clear()
@@ -337,7 +387,7 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "wrapper", "main").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, matched boolean")
+    return joined.select("page_id", "url", "html", "wrapper", "main", "fixed").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, matched boolean")
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

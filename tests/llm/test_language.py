@@ -116,3 +116,32 @@ def test_names_do_not_leave_out_whole_articles():
     assert text_of("<body><article class='post'><div class='social-media'>Share</div><p>Kept.</p></article></body>") == "Kept."
     formula = "<math><mi>x</mi><mspace/><mo>=</mo><mn>2</mn><annotation encoding='tex'>x \\eq 2</annotation></math>"
     assert text_of(f"<body><article><p>So {formula} holds.</p></article></body>") == "So x=2 holds."
+
+
+def test_parts_of_names_and_embedded_elements():
+    text = lambda html: wrappers.Page(html).main_text(None)
+    assert text("<article><p>a</p><svg/><p>b</p><video-player><p>c</p></article>") == "a\nb\nc"
+    inside = "<article><section class='related-work'><p>x</p></section><section id=side-effects>y</section><div class='related-posts'>no</div></article>"
+    assert text(inside) == "x\ny"
+    assert text("<form><p>only</p></form>") == "only" and text("<form><p>q</p></form><p>z</p>") == "z"
+    assert text("foo<img>bar") == "foobar" and text("<article><math><mi>x</mi></math> t<video>no</video></article>") == "x t"
+    assert text("<p>" + "long " * 200_000 + "</p>") == ("long " * 200_000).strip()
+
+
+def test_wrapper_decides_fixed_slots(spark):
+    fixed = "<h4 class='kicker'>All rights with the editors</h4>"
+    page = lambda i: f"<article><h1>t{i}</h1>{fixed}<p>body {i} of the text</p><p>more {i}</p></article>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(4)] + [(9, "http://b.example/", page(9)), (None, None, page(3))]
+    rows += [(20 + i, "http://copy.example/", page(7)) for i in range(5)] + [(30, "http://c.example", None), (31, "http://c.example", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(df, wrappers.infer_wrappers(df)).collect()}
+    plain = {d: wrappers.Page(h or "").main_text(None) for d, _, h in rows}
+    assert got[0] == "t0\nbody 0 of the text\nmore 0" != plain[0]  # without the wrapper the fixed line stays
+    assert all(got[d] == plain[d] for d in (9, None, 20, 24, 30, 31)) and got[30] == got[31] == ""
+    none = {d: t for d, _, t in rows}
+    assert len(got) == len(none)
+
+
+def test_long_repeats_fold():
+    turn = [f"x{i}" for i in range(20)]
+    assert wrappers.fold(["a", *turn, *turn, *turn, "b"]) == ["a", ["+", turn], "b"]
