@@ -130,13 +130,13 @@ def test_parts_of_names_and_embedded_elements():
 
 def test_wrapper_decides_fixed_slots(spark):
     fixed = "<h4 class='kicker'>All rights with the editors</h4>"
-    page = lambda i: f"<article><h1>t{i}</h1>{fixed}<p>body {i} of the text</p><p>more {i}</p></article>"
+    page = lambda i: f"<article><h1>t{i}</h1>{fixed}<p>body {i} of the text, which is longer than what stays</p><p>more {i}</p></article>"
     rows = [(i, f"http://a.example/{i}", page(i)) for i in range(4)] + [(9, "http://b.example/", page(9)), (None, None, page(3))]
     rows += [(20 + i, "http://copy.example/", page(7)) for i in range(5)] + [(30, "http://c.example", None), (31, "http://c.example", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in wrappers.extract(df, wrappers.infer_wrappers(df)).collect()}
     plain = {d: wrappers.Page(h or "").main_text(None) for d, _, h in rows}
-    assert got[0] == "t0\nbody 0 of the text\nmore 0" != plain[0]  # without the wrapper the fixed line stays
+    assert got[0] == "t0\nbody 0 of the text, which is longer than what stays\nmore 0" != plain[0]  # without the wrapper the fixed line stays
     assert all(got[d] == plain[d] for d in (9, None, 20, 24, 30, 31)) and got[30] == got[31] == ""
     none = {d: t for d, _, t in rows}
     assert len(got) == len(none)
