@@ -10,8 +10,8 @@ host matches.  The same pass follows each text slot of the template (its block
 elements with their classes; the turns of a repeated group are one slot) and
 each container: the wrapper names the container that holds the host's varying
 text, and its fixed slots, which hold one and the same text on all of three or
-more pages.  A host whose pages are mostly fixed has copies, not a template, and
-no fixed slots.
+more pages.  A host whose pages are mostly fixed, or share their longest block,
+has copies, not a template, and no fixed slots.
 
 A page's main text is what lies in its article (or main) element, else in the
 wrapper's main container, else in the body, without the wrapper's fixed slots;
@@ -310,7 +310,7 @@ def _host(url: str | None) -> str:
 
 def _observe(pages: DataFrame) -> DataFrame:
     """(host, kind, key) with sums: kind w is a folded stream, kind c a container,
-    kind s a text slot."""
+    kind s a text slot, kind l a page's longest block."""
 
     def run(batches):
         for batch in batches:
@@ -318,7 +318,11 @@ def _observe(pages: DataFrame) -> DataFrame:
             for url, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host, page = _host(url), Page(text or "")
                 seen = {("w", json.dumps(fold(page.stream))): [1, 0, 0, 0, 0]}
-                for path, _, words, links, slot in page.blocks or page.in_forms:
+                blocks = page.blocks or page.in_forms
+                if blocks:
+                    longest = max((block[2] for block in blocks), key=lambda words: (len(words), words))
+                    seen["l", xxhash.xxh3_64_hexdigest(longest)] = [1, 0, 0, 0, 0]
+                for path, _, words, links, slot in blocks:
                     mark = xxhash.xxh3_64_intdigest(words) >> 1
                     for key in (("c", path), ("s", slot)):
                         own = seen.setdefault(key, [1, 0, 0, mark, mark])
@@ -356,7 +360,10 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     slots = seen.where("kind = 's'").groupBy("host").agg(
         F.collect_list(F.when(is_fixed, F.col("key"))).alias("fixed"), F.sum(F.when(is_fixed, F.col("chars")).otherwise(0)).alias("same"), F.sum("chars").alias("every")
     )
-    fixed = slots.where(2 * F.col("same") < F.col("every")).select("host", "fixed")
+    # pages whose longest blocks are mostly the same are copies and say nothing about a template
+    bodies = seen.where("kind = 'l'").groupBy("host").agg(F.count("*").alias("different"), F.sum("pages").alias("all"))
+    varied = bodies.where((F.col("different") > 2) & (2 * F.col("different") >= F.col("all"))).select("host")
+    fixed = slots.where(2 * F.col("same") < F.col("every")).join(varied, "host", "left_semi").select("host", "fixed")
     return store(whole.select("host", F.col("key").alias("wrapper")).join(main, "host", "left").join(fixed, "host", "left"), "wrappers")
 
 
