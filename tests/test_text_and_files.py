@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import minify as mn
@@ -85,6 +86,55 @@ def test_record_table_upserts_by_key(spark, tmp_path):
     assert dict(got.dtypes)["tax_year"] == "string"
 
 
+def test_failed_write_keeps_the_version_before(spark, tmp_path, monkeypatch):
+    table = files.RecordTable(spark, f"file://{tmp_path}/records")
+    table.upsert(record(spark, [row("1", "2023", "a", 1.0), row("2", "2024", "a", 3.0)]))
+    before = sorted(map(tuple, table.read().collect()), key=str)
+
+    def broken(*_):
+        raise OSError("lost between the two writes")
+
+    monkeypatch.setattr(files.RecordTable, "_publish", broken)
+    with pytest.raises(OSError):
+        table.upsert(record(spark, [row("2", "2024", "c", 9.0)]))
+    assert sorted(map(tuple, table.read().collect()), key=str) == before
+    monkeypatch.undo()
+    other = files.RecordTable(spark, f"file://{tmp_path}/records")
+    monkeypatch.setattr(other, "_versions", lambda: [])  # it has not seen the first version
+    with pytest.raises(RuntimeError, match="someone else"):
+        other.upsert(record(spark, [row("9", "2023", "z", 9.0)]))
+    assert sorted(map(tuple, table.read().collect()), key=str) == before
+
+
+def test_only_years_of_a_batch_are_written(spark, tmp_path):
+    table = files.RecordTable(spark, f"file://{tmp_path}/records")
+    table.upsert(record(spark, [row("1", "2023", "a", 1.0), row("2", "2024", "a", 3.0)]))
+    first = table._manifest(1)
+    for i in range(3):
+        table.upsert(record(spark, [row("2", "2024", f"c{i}", 9.0 + i)]))
+    last = table._manifest(4)
+    assert last["2023"] == first["2023"] and last["2024"] != first["2024"] and table._versions() == [3, 4]
+    assert not (tmp_path / "records" / first["2024"]).exists() and (tmp_path / "records" / first["2023"]).exists()
+    assert sorted((r.partnership_ein, r.distributions) for r in table.read().collect()) == [("1", 1.0), ("2", 11.0)]
+
+
+def test_records_are_assembled_from_a_runs_parts(spark):
+    ingested = spark.createDataFrame([("r1", "a.pdf", "h1", "2025-01-01"), ("r2", "b.pdf", "h2", "2025-01-02"), ("r1", "a.pdf", "h1", "2025-01-01")], "run_id string, source_pdf_name string, pdf_sha256 string, ingested_at string")
+    extracted = spark.createDataFrame([("r1", "2024", 5.0), ("r2", None, None)], "run_id string, tax_year string, distributions double")
+    ids = spark.createDataFrame([("r1", "12-3456789", "111-22-3333")], "run_id string, partnership_ein string, partner_tin string")
+    checks = spark.createDataFrame([("r1", "critical", False), ("r1", "warning", False), ("r1", "warning", True)], "run_id string, severity string, passed boolean")
+    scores = spark.createDataFrame([("r1", 0.5, 0.75)], "run_id string, ai_coherence_score double, ai_ocr_confidence double")
+    rows = {r.run_id: r for r in files.with_ingest_status(files.assemble_records(ingested, extracted, ids, checks, scores)).collect()}
+    r = rows["r1"]
+    assert (r.partnership_ein, r.distributions, r.deterministic_critical_count, r.deterministic_warning_count, r.deterministic_passed) == ("12-3456789", 5.0, 1, 1, False)
+    assert (r.ai_coherence_score, r.ai_ocr_confidence, r.status, r.reason) == (0.5, 0.75, "stored", None)
+    assert rows["r2"].status == "skipped" and rows["r2"].reason == "missing partnership_ein, partner_tin, tax_year" and len(rows) == 2
+    bare = files.assemble_records(ingested, extracted, ids)
+    assert bare.schema.fieldNames() == TABLE.fieldNames() and bare.count() == 2
+    keys = spark.range(1).select(files.document_key(F.lit("My Fund, LLC"), "", "2024", suffix=".json").alias("k"), files.decoded(F.lit("aGk=")).alias("b"), files.decoded(F.lit("?")).alias("n")).first()
+    assert keys.k == "my_fund_llc/2024.json" and bytes(keys.b) == b"hi" and keys.n is None
+
+
 def test_drop_zone_is_idempotent(spark, tmp_path):
     drop = tmp_path / "drop"
     drop.mkdir()
