@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import INCOME7, MAGNITUDES, NON_NEGATIVE, PARTNER_TYPES, SECTION_179_DEFAULT, SECTION_179_LIMITS
+from ..schemas import INCOME7, MAGNITUDES, NON_NEGATIVE, NON_NEGATIVE_FIELDS, PARTNER_TYPES, SECTION_179_DEFAULT, SECTION_179_LIMITS
 
 
 class Check(NamedTuple):
@@ -57,10 +57,10 @@ CHECKS = [
     Check("FC-003", "partnership_name present", "critical", "coalesce(trim(partnership_name), '') = ''", ("partnership_name",)),
     Check("FC-004", "partner_type present and valid", "critical", f"coalesce(lower(trim(partner_type)), '') NOT IN ({_TYPES})", ("partner_type",)),
     Check("FC-010", "Partner share percentage range", "critical", "partner_share_percentage < 0 OR partner_share_percentage > 100", ("partner_share_percentage",)),
-    *(Check(f"FC-021-{f}", f"{f} non-negative", "critical", f"{f} < 0", (f,)) for f in (*NON_NEGATIVE, "interest_income")),
+    *(Check(f"FC-021-{f}", f"{f} non-negative", "critical", f"{f} < 0", (f,)) for f in NON_NEGATIVE_FIELDS),
     Check("FC-031", "Section 179 statutory limit", "critical", f"section_179_deduction > 0 AND section_179_deduction > {_LIMIT}", ("section_179_deduction", "tax_year")),
     Check("FC-032", "SE earnings vs partner type consistency", "warning", f"{_LP} AND abs({_SE}) > 1.1 * abs({_GUAR})", (_SE, _GUAR, "partner_type")),
-    *(Check(f"FC-040-{f}", f"{f} magnitude check", "advisory", f"{f} < {int(lo * 1e6)} OR {f} > {int(hi * 1e6)}", (f,)) for f, (lo, hi) in MAGNITUDES.items()),
+    *(Check(f"FC-040-{f}", f"{f} magnitude check", "advisory", f"{f} < {lo} OR {f} > {hi}", (f,)) for f, (lo, hi) in MAGNITUDES.items()),
     Check("CAP-001", "Capital account reconciliation", "warning",
           f"abs({_END} - ({_BEG} + {_INCOME} - {_z('section_179_deduction')} - {_z('foreign_taxes_paid')} - {_z(_DIST)})) > greatest(0.25 * abs({_END}), 10000)", (_BEG, _END)),
 ]

@@ -1,8 +1,9 @@
 """Cross-record rules over any set of records.
 
-Group rules need all totals of a partnership and year: they come from one
-window over (partnership_ein, tax_year), so the rules share one shuffle.  Pair
-rules need consecutive years of a partner: one equi-join on (ein, tin, year).
+Group rules need all totals of a partnership and year: one aggregation with
+partial sums, a row for each (partnership_ein, tax_year), which is joined back
+only where a rule looks at single records.  Pair rules need consecutive years of
+a partner: one equi-join on (ein, tin, year) of the first record of each key.
 Every rule gives rows of RESULT with the numbers it compared (observed,
 threshold); the absence of a row is a result too.
 """
@@ -15,10 +16,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity, strip
-from ..schemas import AMOUNT_FIELDS, INCOME6
+from ..schemas import AMOUNT_FIELDS, INCOME6, KEY
+from ..session import stored
 
 RESULT = ["rule_id", "category", "severity", "passed", "partnership_ein", "tax_year", "partner_tin", "detail", "observed", "threshold"]
 GROUP = ["partnership_ein", "tax_year"]
+# The published identifiers of the rules.
+PUBLISHED = {
+    "A1": "CROSS_A1_PROFIT_PCT_SUM", "A2": "CROSS_A2_PCT_SUM_INCOMPLETE", "A3": "CROSS_A3_INCOME_PROPORTIONALITY",
+    "A4": "CROSS_A4_CAPITAL_ACCOUNT_CONSISTENCY", "A5": "CROSS_A5_PARTNERSHIP_IDENTITY", "B1": "CROSS_B1_CAPITAL_CONTINUITY",
+    "B3": "CROSS_B3_PARTNERSHIP_IDENTITY_MULTIYEAR", "B4": "CROSS_B4_PARTNER_TYPE_CONTINUITY", "C1": "CROSS_C1_EXACT_DUPLICATE",
+    "C2": "CROSS_C2_AMENDED_K1", "D1": "CROSS_D1_DISTRIBUTION_REASONABLENESS", "D4": "CROSS_D4_SE_CONSISTENCY",
+}
 _dec = lambda c: F.col(c).cast("decimal(18,2)")
 
 
@@ -41,22 +50,33 @@ def _violations_or_pass(tested: DataFrame, violation: Column, groups: DataFrame,
     return _rows(bad, rule, severity, F.lit(False), **shown).unionByName(_rows(good, rule, severity, F.lit(True)))
 
 
-def grouped(records: DataFrame) -> DataFrame:
-    """Records with the size and the decimal totals of their group."""
-    w = Window.partitionBy(*GROUP)
+def _marked(records: DataFrame) -> DataFrame:
     pct = F.col("partner_share_percentage").cast("decimal(9,5)")
     valid = F.coalesce(pct > 0, F.lit(False))
-    held = valid & F.col("capital_account_ending").isNotNull()
-    df = records.withColumns({"pct": pct, "valid": valid, "held": held})
-    totals = {
-        "members": F.count("*").over(w), "n_pct": F.count("pct").over(w), "sum_pct": F.sum("pct").over(w),
-        "n_valid": F.count_if("valid").over(w), "sum_valid": F.sum(F.when(F.col("valid"), F.col("pct"))).over(w),
-        "n_held": F.count_if("held").over(w), "sum_held": F.sum(F.when(F.col("held"), F.col("pct"))).over(w),
-        "sum_end": F.sum(F.when(F.col("held"), _dec("capital_account_ending"))).over(w),
-        "sum_dist": F.sum(_dec("distributions")).over(w),
-        "sum_income": sum((F.coalesce(F.sum(_dec(f)).over(w), F.lit(0)) for f in INCOME6), F.lit(0)),
-    }
-    return df.withColumns(totals)
+    return records.withColumns({"pct": pct, "valid": valid, "held": valid & F.col("capital_account_ending").isNotNull()})
+
+
+def totals(records: DataFrame) -> DataFrame:
+    """Size and decimal totals of every group, one row each."""
+    when = lambda c, v: F.sum(F.when(F.col(c), v))
+    fields = [x for f in INCOME6 for x in (
+        F.count_if(F.col("valid") & F.col(f).isNotNull()).alias(f"n_{f}"), when("valid", _dec(f)).alias(f"total_{f}"),
+    )]
+    return _marked(records).groupBy(*GROUP).agg(
+        F.count("*").alias("members"), F.count("pct").alias("n_pct"), F.sum("pct").alias("sum_pct"),
+        F.count_if("valid").alias("n_valid"), when("valid", F.col("pct")).alias("sum_valid"),
+        F.count_if("held").alias("n_held"), when("held", F.col("pct")).alias("sum_held"),
+        when("held", _dec("capital_account_ending")).alias("sum_end"), F.sum(_dec("distributions")).alias("sum_dist"),
+        sum((F.coalesce(F.sum(_dec(f)), F.lit(0)) for f in INCOME6), F.lit(0)).alias("sum_income"), *fields,
+    )
+
+
+def grouped(records: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Records with the totals of their group; groups are null-safe."""
+    groups = totals(records) if groups is None else groups
+    right = groups.withColumnsRenamed({k: f"_{k}" for k in GROUP})
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in GROUP))
+    return _marked(records).join(right, same).drop(*(f"_{k}" for k in GROUP))
 
 
 def percent_rules(g: DataFrame) -> DataFrame:
@@ -72,9 +92,8 @@ def proportional_allocation(g: DataFrame) -> DataFrame:
     the percent total is over all valid partners, the field's over those with it."""
     valid = g.where("valid AND members >= 2 AND n_valid >= 2")
     long = valid.select(*GROUP, "partner_tin", "pct", "sum_valid", F.explode(F.array(*(
-        F.struct(F.lit(f).alias("field"), _dec(f).alias("v")) for f in INCOME6))).alias("x")).select(*GROUP, "partner_tin", "pct", "sum_valid", "x.*")
-    w = Window.partitionBy(*GROUP, "field")
-    long = long.where("v IS NOT NULL").withColumns({"n": F.count("*").over(w), "total": F.sum("v").over(w)})
+        F.struct(F.lit(f).alias("field"), _dec(f).alias("v"), F.col(f"n_{f}").alias("n"), F.col(f"total_{f}").alias("total")) for f in INCOME6
+    ))).alias("x")).select(*GROUP, "partner_tin", "pct", "sum_valid", "x.*").where("v IS NOT NULL")
     expected = F.col("pct").cast("double") / F.col("sum_valid").cast("double")
     actual = F.col("v").cast("double") / F.col("total").cast("double")
     tested = long.where("n >= 2 AND total <> 0").withColumn("off", F.abs(actual - expected) / expected)
@@ -125,15 +144,16 @@ def self_employment(g: DataFrame) -> DataFrame:
 def repeated_records(records: DataFrame) -> DataFrame:
     """C1 (exact copy of the first record of a TIN) and C2 (amended)."""
     tin = Window.partitionBy(*GROUP, "partner_tin").orderBy("ingested_at", "run_id")
-    group = Window.partitionBy(*GROUP)
     fields = F.struct(*AMOUNT_FIELDS)
-    ranked = records.withColumns({"members": F.count("*").over(group), "first": F.first(fields).over(tin), "nth": F.row_number().over(tin)}).where("members >= 2")
+    several = records.groupBy(*GROUP).count().where("count >= 2").select(*(F.col(k).alias(f"_{k}") for k in GROUP))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in GROUP))
+    ranked = records.join(several, same, "left_semi").withColumns({"first": F.first(fields).over(tin), "nth": F.row_number().over(tin)})
     differ = F.array_compact(F.array(*(F.when(~F.col(f).eqNullSafe(F.col(f"first.{f}")), F.lit(f)) for f in AMOUNT_FIELDS)))
     later = ranked.where("nth > 1").withColumn("differ", differ)
     groups = ranked.select(*GROUP).distinct()
     count = F.size("differ")
-    same = _violations_or_pass(later, count == 0, groups, "C1", "critical", tin=F.col("partner_tin"), observed=count)
-    return same.unionByName(
+    exact = _violations_or_pass(later, count == 0, groups, "C1", "critical", tin=F.col("partner_tin"), observed=count)
+    return exact.unionByName(
         _violations_or_pass(later, count > 0, groups, "C2", "warning", tin=F.col("partner_tin"), detail=F.array_join("differ", ","), observed=count)
     )
 
@@ -146,9 +166,12 @@ def repeated_files(records: DataFrame) -> DataFrame:
 
 
 def year_pairs(records: DataFrame) -> DataFrame:
-    """(prior, current) structs of consecutive years; years that are no number do not pair."""
-    year = F.col("tax_year").try_cast("int")
-    side = lambda name: records.select("partnership_ein", "partner_tin", year.alias("y"), F.struct("*").alias(name)).where("y IS NOT NULL")
+    """(prior, current) structs of consecutive years; years that are no number do
+    not pair, and of repeated records of a key the first one counts."""
+    year, key = F.col("tax_year").try_cast("int"), ["partnership_ein", "partner_tin", "y"]
+    order = F.struct(*(F.col(c) for c in ("ingested_at", "run_id") if c in records.columns), *KEY, *AMOUNT_FIELDS)
+    first = records.withColumn("y", year).where("y IS NOT NULL").groupBy(*key).agg(F.min_by(F.struct(*records.columns), order).alias("r"))
+    side = lambda name: first.select(*key, F.col("r").alias(name))
     prior, current = side("prior").withColumn("y", F.col("y") + 1), side("current")
     return prior.join(current, ["partnership_ein", "partner_tin", "y"]).select("partnership_ein", "partner_tin", F.col("current.tax_year").alias("tax_year"), "prior", "current")
 
@@ -172,9 +195,12 @@ def pair_rules(pairs: DataFrame) -> DataFrame:
 
 
 def all_rules(records: DataFrame, run_id_trigger: str = "") -> DataFrame:
-    """Every rule over ``records``, as one table."""
-    g = grouped(records)
-    parts = [percent_rules(g), proportional_allocation(g), capital_proportion(g), name_consistency(g), distribution_reasonableness(g), self_employment(g)]
+    """Every rule over ``records``, as one table.  The records are computed once
+    and kept, with the totals of their groups, in the shared folder."""
+    records = stored(records, "records")
+    groups = stored(totals(records), "group-totals")
+    g = grouped(records, groups)
+    parts = [percent_rules(groups), proportional_allocation(g), capital_proportion(g), name_consistency(g), distribution_reasonableness(groups), self_employment(g)]
     if {"ingested_at", "run_id"} <= set(records.columns):
         parts.append(repeated_records(records))
     if {"pdf_sha256", "ingested_at", "run_id"} <= set(records.columns):
@@ -183,6 +209,19 @@ def all_rules(records: DataFrame, run_id_trigger: str = "") -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("run_id_trigger", F.lit(run_id_trigger))
 
 
+def published(results: DataFrame) -> DataFrame:
+    """``results`` with the rules' published identifiers; others keep theirs."""
+    names = F.create_map(*(F.lit(x) for pair in PUBLISHED.items() for x in pair))
+    return results.withColumn("rule_id", F.coalesce(names[F.col("rule_id")], "rule_id"))
+
+
+def scope(records: DataFrame, ein: str | None = None, year: str | None = None) -> DataFrame:
+    """The records of one partnership and year if both are given, else all."""
+    if not (ein and year):
+        return records
+    return records.where((F.col("partnership_ein") == ein) & (F.col("tax_year") == year))
+
+
 def summary(results: DataFrame) -> DataFrame:
     failed = ~F.col("passed")
     by = lambda s: F.count_if(failed & (F.col("severity") == s)).alias(f"{s}_failures")

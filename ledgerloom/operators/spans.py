@@ -18,12 +18,15 @@ from ..functions.text import strip
 # Entity types, patterns and scores of the built-in recognisers
 # (Java and RE2 syntax alike) and the terms that are never personal data.
 RECOGNISERS = {
-    "EIN": (r"[0-9]{2}-[0-9]{7}", 0.85),
-    "US_SSN": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85),
+    "EIN": (r"\b[0-9]{2}-[0-9]{7}\b", 0.85),
+    "US_SSN": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85),
     "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0),
-    "PHONE_NUMBER": (r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", 0.75),
-    "CREDIT_CARD": (r"[0-9]{16}", 0.6),
-    "IP_ADDRESS": (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.95),
+    "PHONE_NUMBER": (r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}\b", 0.75),
+    "CREDIT_CARD": (r"\b[0-9]{16}\b", 0.6),
+    "PASSPORT": (r"\b[A-Z][0-9]{8}\b", 0.5),
+    "US_DRIVER_LICENSE": (r"\b[A-Z][0-9]{7}\b", 0.4),
+    "IBAN_CODE": (r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0.8),
+    "IP_ADDRESS": (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", 0.95),
 }
 ALLOWED_TERMS = [
     "partner", "partners", "partnership", "partnerships", "general partner", "limited partner", "domestic partner", "foreign partner",

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.minify import minify
-from ..functions.text import partner_class, similarity, slug
+from ..functions.text import mask_ein, mask_tin, partner_class, preview, similarity, slug
 from ..operators import checks, cross_rules, spans
-from ..schemas import AMOUNT_FIELDS, INCOME6, INCOME7, KEY, SUMMARY_FIELDS
-from ..session import ship_package
+from ..schemas import AMOUNT_FIELDS, INCOME6, INCOME7, KEY, RECORD, SUMMARY_FIELDS
+from ..session import ship_package, stored
 from ..sources import files
-from . import reports
+from . import dashboard, reports
 from .k1_view import K1_SQL, k1_records
 
 def _shown(rows: DataFrame) -> DataFrame:
@@ -20,13 +20,18 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of which some came twice: unchanged, or with amended amounts."""
-    k1 = k1_records(spark, sf_dir)
+    k1 = _kept(spark, sf_dir)
     stamp = lambda df, v: df.withColumns({"run_id": F.concat_ws("/", *KEY, F.lit(str(v))), "ingested_at": F.lit(f"2025-01-0{v}T00:00:00"), "pdf_sha256": F.sha2(F.concat_ws("/", *KEY), 256)})
     last = F.substring("partner_tin", -1, 1)
     amended = k1.where(last == "7").withColumn("distributions", F.col("distributions") + 100).withColumn("interest_income", F.lit(None).cast("double"))
     return stamp(k1, 1).unionByName(stamp(k1.where(last == "3"), 2)).unionByName(stamp(amended, 3).withColumn("pdf_sha256", F.lit(None).cast("string")))
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records, computed once for plans that read them twice."""
+    return stored(k1_records(spark, sf_dir), "records")
+
+
 def q_checks(spark, sf_dir):
     return checks.check_rows(k1_records(spark, sf_dir), KEY).select(*KEY, "rule_id", "severity", "passed")
 
@@ -37,31 +42,31 @@ def q_report_status(spark, sf_dir):
 
 
 def q_percent_rules(spark, sf_dir):
-    return _shown(cross_rules.percent_rules(cross_rules.grouped(k1_records(spark, sf_dir))))
+    return _shown(cross_rules.percent_rules(cross_rules.totals(k1_records(spark, sf_dir))))
 
 
 def q_allocation(spark, sf_dir):
-    return _shown(cross_rules.proportional_allocation(cross_rules.grouped(k1_records(spark, sf_dir)))).drop("observed")
+    return _shown(cross_rules.proportional_allocation(cross_rules.grouped(_kept(spark, sf_dir)))).drop("observed")
 
 
 def q_capital_proportion(spark, sf_dir):
-    return _shown(cross_rules.capital_proportion(cross_rules.grouped(k1_records(spark, sf_dir)))).drop("observed")
+    return _shown(cross_rules.capital_proportion(cross_rules.grouped(_kept(spark, sf_dir)))).drop("observed")
 
 
 def q_names(spark, sf_dir):
-    return _shown(cross_rules.name_consistency(cross_rules.grouped(k1_records(spark, sf_dir))))
+    return _shown(cross_rules.name_consistency(cross_rules.grouped(_kept(spark, sf_dir))))
 
 
 def q_distributions(spark, sf_dir):
-    return _shown(cross_rules.distribution_reasonableness(cross_rules.grouped(k1_records(spark, sf_dir))))
+    return _shown(cross_rules.distribution_reasonableness(cross_rules.totals(k1_records(spark, sf_dir))))
 
 
 def q_self_employment(spark, sf_dir):
-    return _shown(cross_rules.self_employment(cross_rules.grouped(k1_records(spark, sf_dir))))
+    return _shown(cross_rules.self_employment(cross_rules.grouped(_kept(spark, sf_dir))))
 
 
 def q_pair_rules(spark, sf_dir):
-    return _shown(cross_rules.pair_rules(cross_rules.year_pairs(k1_records(spark, sf_dir))))
+    return _shown(cross_rules.pair_rules(cross_rules.year_pairs(_kept(spark, sf_dir))))
 
 
 def q_repeated_records(spark, sf_dir):
@@ -111,10 +116,59 @@ def q_capital_bars(spark, sf_dir):
 
 
 def q_scoped(spark, sf_dir):
-    results = cross_rules.percent_rules(cross_rules.grouped(k1_records(spark, sf_dir)))
+    results = cross_rules.percent_rules(cross_rules.totals(k1_records(spark, sf_dir)))
     return reports.scoped_results(results, "07-0000065").groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed_n"))
 
 
+def q_scoped_summary(spark, sf_dir):
+    records = _kept(spark, sf_dir)
+    results = cross_rules.all_rules(records)
+    return reports.scoped_summary(results, reports.partnerships(records), "07-0000065", 5)
+
+
+def q_published_ids(spark, sf_dir):
+    results = cross_rules.published(cross_rules.all_rules(k1_records(spark, sf_dir)))
+    return results.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed_n"))
+
+
+def q_scope(spark, sf_dir):
+    return cross_rules.scope(k1_records(spark, sf_dir), "07-0000065", "1995").select(*KEY, "distributions")
+
+
+def q_present_fields(spark, sf_dir):
+    return reports.present_fields(k1_records(spark, sf_dir), KEY).groupBy("field").agg(F.count("*").alias("n"), F.countDistinct("partnership_ein").alias("partnerships"))
+
+
+def q_recognition(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    readings = docs.select(F.col("source").alias("engine"), F.col("lang").alias("profile"), "text", (F.col("doc_id") % 7).cast("double").alias("seconds"))
+    truth = spark.createDataFrame([("the ",), ("@example",), ("no such words",)], "expected string")
+    return reports.recognition_scores(readings, truth).withColumn("accuracy", F.round("accuracy", 6))
+
+
+def q_batch_outcome(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return reports.batch_outcome(docs.select((F.length("text") > 300).alias("succeeded"), (F.col("doc_id") % 7).cast("double").alias("seconds"))).withColumn("seconds_a_document", F.round("seconds_a_document", 6))
+
+
+def q_report_list(spark, sf_dir):
+    records = reports.with_analysis(k1_records(spark, sf_dir)).withColumns({"report_dir": F.concat_ws("/", *KEY), "status": F.lit(None).cast("string")})
+    cents = {c: F.round(F.col(c) * 100, 0).cast("long") for c in ("income", "capital_gains")}
+    return dashboard.report_list(records).withColumns(cents)
+
+
+def q_masked(spark, sf_dir):
+    return k1_records(spark, sf_dir).select(
+        *KEY, mask_ein(F.col("partnership_ein")).alias("ein_shown"), mask_tin(F.col("partner_tin")).alias("tin_shown"), preview(F.col("partnership_name"), 8).alias("name_shown"),
+        files.document_key(F.col("partnership_name"), F.col("tax_year"), suffix=".json").alias("storage_key"),
+    )
+
+
+def q_pages(spark, sf_dir):
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return reports.stitch_pages(talk.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("page"), "text")).select("run_id", "full_text", "chars")
+
+
 def q_failed_critical(spark, sf_dir):
     rows = checks.check_rows(k1_records(spark, sf_dir), KEY)
     return reports.failed_checks(rows, "critical").select(*KEY, "rule_id")
@@ -165,16 +219,52 @@ QUERIES = {
     "populated_fields": q_populated, "partner_classes": q_partner_class, "capital_bars": q_capital_bars, "scoped_results": q_scoped,
     "failed_critical": q_failed_critical, "entity_counts": q_entity_counts, "sanitized_text": q_sanitized, "entity_modes": q_entity_modes,
     "minified_text": q_minified, "ground_truth_recall": q_recall, "name_similarity": q_similarity,
+    "scoped_summary": q_scoped_summary, "published_rule_ids": q_published_ids, "scoped_records": q_scope, "present_fields": q_present_fields,
+    "recognition_scores": q_recognition, "batch_outcome": q_batch_outcome, "report_list": q_report_list, "masked_names": q_masked,
+    "stitched_pages": q_pages,
 }
 
 # --- SQL -------------------------------------------------------------------
 
-_CHECK_ROWS = ", ".join(
-    f"('{c.rule_id}', '{c.severity}', NOT coalesce({c.violation}, false))" for c in checks.CHECKS
-)
-_PASSED = lambda severity: " + ".join(f"CAST(coalesce({c.violation}, false) AS INT)" for c in checks.CHECKS if c.severity == severity)
+# The checks, written out as what must hold; the operators state what must not.
+_HOLDS = {
+    "ARITH-001": ("critical", "qualified_dividends IS NULL OR ordinary_dividends IS NULL OR ordinary_dividends >= qualified_dividends"),
+    "ARITH-002": ("critical", "partner_share_percentage IS NULL OR (0 < partner_share_percentage AND partner_share_percentage <= 100)"),
+    **{f"ARITH-003-{f}": ("critical", f"{f} IS NULL OR {f} >= 0") for f in (
+        "ordinary_dividends", "qualified_dividends", "guaranteed_payments", "section_179_deduction", "foreign_taxes_paid", "distributions")},
+    "ARITH-005": ("advisory", "capital_account_beginning IS NULL OR capital_account_ending IS NULL OR abs(capital_account_ending - capital_account_beginning - (inc - dist)) <= 2 * greatest(1, abs(capital_account_ending), abs(capital_account_beginning))"),
+    "ARITH-006": ("warning", "NOT gp OR self_employment_earnings IS NULL OR ordinary_business_income IS NULL OR abs(self_employment_earnings - (ordinary_business_income + guar)) <= greatest(1000, 0.15 * abs(ordinary_business_income + guar))"),
+    "ARITH-007": ("warning", "NOT lp OR self_employment_earnings IS NULL OR guaranteed_payments IS NULL OR self_employment_earnings <= guaranteed_payments + 100"),
+    "ARITH-008": ("advisory", "qbi_deduction IS NULL OR ordinary_business_income IS NULL OR abs(qbi_deduction - (ordinary_business_income - guar)) <= greatest(5000, 0.25 * abs(ordinary_business_income))"),
+    "ARITH-009": ("critical", "coalesce(qualified_dividends, 0) <= 0 OR ordinary_dividends IS NOT NULL"),
+    "ARITH-010": ("warning", "coalesce(foreign_taxes_paid, 0) <= 0 OR some_income"),
+    "ARITH-011": ("advisory", "coalesce(section_179_deduction, 0) <= 0 OR coalesce(ordinary_business_income, 0) <= 0 OR section_179_deduction <= 5 * ordinary_business_income"),
+    "FC-001": ("critical", "tax_year IS NOT NULL AND regexp_full_match(tax_year, '[0-9]{4}')"),
+    "FC-003": ("critical", "partnership_name IS NOT NULL AND length(trim(partnership_name)) > 0"),
+    "FC-004": ("critical", "partner_type IS NOT NULL AND lower(trim(partner_type)) IN ('general partner', 'limited partner', 'llc member-manager', 'llc member', 'general partner or llc member-manager', 'limited partner or other llc member')"),
+    "FC-010": ("critical", "partner_share_percentage IS NULL OR partner_share_percentage BETWEEN 0 AND 100"),
+    **{f"FC-021-{f}": ("critical", f"{f} IS NULL OR {f} >= 0") for f in (
+        "guaranteed_payments", "interest_income", "ordinary_dividends", "qualified_dividends", "section_179_deduction", "foreign_taxes_paid", "distributions")},
+    "FC-031": ("critical", "section_179_deduction IS NULL OR section_179_deduction <= greatest(0, CASE tax_year WHEN '2020' THEN 1040000 WHEN '2021' THEN 1050000 WHEN '2022' THEN 1080000 WHEN '2023' THEN 1160000 WHEN '2024' THEN 1220000 ELSE 1250000 END)"),
+    "FC-032": ("warning", "NOT lp OR self_employment_earnings IS NULL OR guaranteed_payments IS NULL OR abs(self_employment_earnings) <= 1.1 * abs(guaranteed_payments)"),
+    **{f"FC-040-{f}": ("advisory", f"{f} IS NULL OR {f} BETWEEN {lo} AND {hi}") for f, lo, hi in (
+        ("ordinary_business_income", -50000000, 100000000), ("rental_real_estate_income", -20000000, 20000000), ("guaranteed_payments", 0, 5000000),
+        ("interest_income", 0, 10000000), ("ordinary_dividends", 0, 50000000), ("qualified_dividends", 0, 50000000),
+        ("short_term_capital_gains", -50000000, 100000000), ("long_term_capital_gains", -50000000, 500000000), ("section_179_deduction", 0, 1500000),
+        ("self_employment_earnings", -10000000, 10000000), ("foreign_taxes_paid", 0, 1000000), ("distributions", 0, 100000000),
+        ("qbi_deduction", -50000000, 100000000), ("capital_account_beginning", -50000000, 500000000), ("capital_account_ending", -50000000, 500000000))},
+    "CAP-001": ("warning", "capital_account_beginning IS NULL OR capital_account_ending IS NULL OR abs(capital_account_ending - (capital_account_beginning + inc - coalesce(section_179_deduction, 0) - coalesce(foreign_taxes_paid, 0) - dist)) <= greatest(10000, 0.25 * abs(capital_account_ending))"),
+}
+_CHECKED = """, kk AS (SELECT *, coalesce(guaranteed_payments, 0) AS guar, coalesce(distributions, 0) AS dist,
+    coalesce(lower(partner_type) LIKE '%general%', false) AS gp, coalesce(lower(partner_type) LIKE '%limited%', false) AS lp,
+    coalesce(ordinary_business_income, 0) + coalesce(rental_real_estate_income, 0) + coalesce(guaranteed_payments, 0) + coalesce(interest_income, 0)
+      + coalesce(ordinary_dividends, 0) + coalesce(short_term_capital_gains, 0) + coalesce(long_term_capital_gains, 0) AS inc,
+    coalesce(greatest(abs(ordinary_business_income), abs(rental_real_estate_income), abs(guaranteed_payments), abs(interest_income),
+      abs(ordinary_dividends), abs(short_term_capital_gains), abs(long_term_capital_gains)), 0) > 0 AS some_income FROM k1)"""
+_CHECK_ROWS = ", ".join(f"('{rule}', '{severity}', {holds})" for rule, (severity, holds) in _HOLDS.items())
+_PASSED = lambda wanted: " + ".join(f"CAST(NOT ({holds}) AS INT)" for severity, holds in _HOLDS.values() if severity == wanted)
 _STATUS = f"""SELECT partnership_ein, partner_tin, tax_year, {_PASSED("critical")} AS critical_count, {_PASSED("warning")} AS warning_count,
-  {_PASSED("advisory")} AS advisory_count FROM k1"""
+  {_PASSED("advisory")} AS advisory_count FROM kk"""
 _GROUPED = f"""
 , g AS (
   SELECT *, CAST(partner_share_percentage AS DECIMAL(9,5)) AS pct, count(*) OVER g AS members,
@@ -255,9 +345,30 @@ _VALUE = lambda f: f if f in SUMMARY_FIELDS[:3] else f"CAST(CAST(round({f} * 100
 _EXPORT = ", ".join(f"({i}, '{f}', coalesce({_VALUE(f)}, ''))" for i, f in enumerate(SUMMARY_FIELDS))
 _FIND = " UNION ALL ".join(f"SELECT '{t}' AS entity_type, sum(n) AS n, count(*) AS docs FROM (SELECT len(regexp_extract_all(text, '{rx}')) AS n FROM documents) WHERE n > 0 HAVING count(*) > 0" for t, (rx, _) in spans.RECOGNISERS.items())
 
+_SEVERITY = "CASE WHEN rule_id IN ('A1', 'B1', 'C1') THEN 'critical' WHEN rule_id = 'A2' THEN 'advisory' ELSE 'warning' END"
+_ALL_RULES = " UNION ALL ".join(f"SELECT rule_id, passed, partnership_ein FROM ({K1_SQL} {part})" for part in (_A1A2, _A3, _A4, _A5, _D1, _D4, _B))
+_COUNTS = """count(*) AS total_checks, count(*) FILTER (passed) AS passed_checks, count(*) FILTER (NOT passed) AS failed_checks,
+  count(*) FILTER (NOT passed AND severity = 'critical') AS critical_failures, count(*) FILTER (NOT passed AND severity = 'warning') AS warning_failures,
+  count(*) FILTER (NOT passed AND severity = 'advisory') AS advisory_failures"""
+_MODES = {"patterns": ("EIN", "EMAIL_ADDRESS", "PHONE_NUMBER"), "zero_shot": ("CREDIT_CARD", "IP_ADDRESS", "PHONE_NUMBER"), "combined": tuple(spans.RECOGNISERS)}
+_MODE_SUMS = ", ".join(f"CAST(sum(CASE WHEN entity_type IN {types} THEN n ELSE 0 END) AS BIGINT) AS {mode}" for mode, types in _MODES.items())
+_NAMES = " ".join(f"WHEN '{short}' THEN '{long}'" for short, long in cross_rules.PUBLISHED.items())
+
 ORACLES = {
-    "validation_checks": f"{K1_SQL} SELECT partnership_ein, partner_tin, tax_year, rule_id, severity, passed FROM k1, LATERAL (VALUES {_CHECK_ROWS}) c(rule_id, severity, passed)",
-    "report_status": f"{K1_SQL}, st AS ({_STATUS}) SELECT *, CASE WHEN critical_count > 0 THEN 'failed' WHEN warning_count > 0 THEN 'warnings' ELSE 'passed' END AS status FROM st",
+    "rule_summary": f"SELECT {_COUNTS} FROM (SELECT *, {_SEVERITY} AS severity FROM ({_ALL_RULES}))",
+    "scoped_summary": f"""SELECT {_COUNTS}, any_value(p) AS partnerships, CAST(CASE WHEN any_value(p) > 1 THEN 5 ELSE 0 END AS BIGINT) AS year_pairs_checked
+      FROM (SELECT *, {_SEVERITY} AS severity FROM ({_ALL_RULES})), ({K1_SQL} SELECT count(DISTINCT tax_year) AS p FROM k1 WHERE partnership_ein = '07-0000065') WHERE partnership_ein = '07-0000065'""",
+    "published_rule_ids": f"SELECT CASE rule_id {_NAMES} END AS rule_id, {_SEVERITY} AS severity, count(*) AS n, count(*) FILTER (passed) AS passed_n FROM ({_ALL_RULES}) q GROUP BY q.rule_id",
+    "scoped_records": K1_SQL + " SELECT partnership_ein, partner_tin, tax_year, distributions FROM k1 WHERE partnership_ein = '07-0000065' AND tax_year = '1995'",
+    "present_fields": K1_SQL + " SELECT field, count(*) AS n, count(DISTINCT partnership_ein) AS partnerships FROM k1, LATERAL (VALUES " + ", ".join(f"('{f}', {f} IS NOT NULL)" for f in RECORD.fieldNames()) + ") x(field, known) WHERE known GROUP BY field",
+    "recognition_scores": "SELECT source AS engine, lang AS profile, CAST(sum(h) AS BIGINT) AS hits, 3 * count(*) AS total, CAST(sum(doc_id % 7) AS DOUBLE) AS seconds, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS characters, round(sum(h) / CAST(3 * count(*) AS DOUBLE), 6) AS accuracy FROM (SELECT *, CAST(contains(coalesce(text, ''), 'the ') AS INT) + CAST(contains(coalesce(text, ''), '@example') AS INT) + CAST(contains(coalesce(text, ''), 'no such words') AS INT) AS h FROM documents) GROUP BY ALL",
+    "batch_outcome": "SELECT count(*) AS runs, count(*) FILTER (length(text) > 300) AS successes, count(*) FILTER (NOT coalesce(length(text) > 300, false)) AS failures, round(sum(doc_id % 7) / CAST(count(*) AS DOUBLE), 6) AS seconds_a_document FROM documents",
+    "report_list": K1_SQL + _ANALYSIS + " SELECT partnership_ein || '/' || partner_tin || '/' || tax_year AS report_dir, coalesce(nullif(partnership_name, ''), 'Unknown') AS partnership_name, coalesce(nullif(tax_year, ''), '-') AS tax_year, coalesce(nullif(partner_type, ''), '-') AS partner_type, 'unknown' AS status, CAST(round(100 * coalesce(nullif(total_income, 0), ordinary_business_income, 0), 0) AS BIGINT) AS income, CAST(round(100 * (coalesce(short_term_capital_gains, 0) + coalesce(long_term_capital_gains, 0)), 0) AS BIGINT) AS capital_gains FROM an2",
+    "masked_names": K1_SQL + " SELECT partnership_ein, partner_tin, tax_year, left(partnership_ein, 3) || '***' || right(partnership_ein, 3) AS ein_shown, left(partner_tin, 4) || '***' AS tin_shown, CASE WHEN length(partnership_name) > 8 THEN left(partnership_name, 8) || '...' ELSE partnership_name END AS name_shown, trim(regexp_replace(lower(partnership_name), '[^a-z0-9]+', '_', 'g'), '_') || '/' || tax_year || '.json' AS storage_key FROM k1",
+    "stitched_pages": "SELECT conv_id AS run_id, string_agg(text, chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10) ORDER BY turn, text) AS full_text, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id",
+    "entity_modes": f"SELECT * FROM (WITH f AS ({_FIND}) SELECT entity_type, {_MODE_SUMS} FROM f GROUP BY entity_type UNION ALL SELECT 'TOTAL', {_MODE_SUMS} FROM f)",
+    "validation_checks": f"{K1_SQL}{_CHECKED} SELECT partnership_ein, partner_tin, tax_year, rule_id, severity, passed FROM kk, LATERAL (VALUES {_CHECK_ROWS}) c(rule_id, severity, passed)",
+    "report_status": f"{K1_SQL}{_CHECKED}, st AS ({_STATUS}) SELECT *, CASE WHEN critical_count > 0 THEN 'failed' WHEN warning_count > 0 THEN 'warnings' ELSE 'passed' END AS status FROM st",
     "rules_a1_a2": K1_SQL + _A1A2, "rule_a3": K1_SQL + _A3, "rule_a4": K1_SQL + _A4, "rule_a5": K1_SQL + _A5, "rule_d1": K1_SQL + _D1,
     "rule_d4": K1_SQL + _D4, "rules_b1_b3_b4": K1_SQL + _B, "rules_c1_c2": K1_SQL + _C,
     "rule_c3": K1_SQL + _HISTORY + " SELECT 'C3' AS rule_id, false AS passed, partnership_ein, tax_year, partner_tin, CAST(2 AS DOUBLE) AS observed, CAST(NULL AS DOUBLE) AS threshold FROM h WHERE v = 2",
@@ -269,7 +380,7 @@ ORACLES = {
     "partner_classes": K1_SQL + " SELECT CASE WHEN partner_type LIKE 'General%' THEN 'GP' ELSE 'LP' END AS class, tax_year, count(*) AS n, min(capital_account_ending) AS least, max(capital_account_ending) AS most FROM k1 GROUP BY ALL",
     "capital_bars": K1_SQL + " SELECT partnership_ein, partner_tin, tax_year, round(abs(capital_account_beginning) / nullif(abs(capital_account_beginning) + abs(capital_account_ending - capital_account_beginning), 0), 6) AS beginning_share FROM k1",
     "scoped_results": K1_SQL + _GROUPED + ", r AS (" + _A1A2.removeprefix(_GROUPED) + ") SELECT rule_id, count(*) AS n, count(*) FILTER (passed) AS passed_n FROM r WHERE partnership_ein = '07-0000065' GROUP BY ALL",
-    "failed_critical": f"{K1_SQL} SELECT partnership_ein, partner_tin, tax_year, rule_id FROM k1, LATERAL (VALUES {_CHECK_ROWS}) c(rule_id, severity, passed) WHERE NOT passed AND severity = 'critical'",
+    "failed_critical": f"{K1_SQL}{_CHECKED} SELECT partnership_ein, partner_tin, tax_year, rule_id FROM kk, LATERAL (VALUES {_CHECK_ROWS}) c(rule_id, severity, passed) WHERE NOT passed AND severity = 'critical'",
     "entity_counts": f"SELECT entity_type, CAST(n AS BIGINT) AS n, docs FROM ({_FIND})",
     "ground_truth_recall": "SELECT doc_id, count(*) FILTER (contains(text, x)) AS hits, count(*) AS total, avg(CAST(contains(text, x) AS DOUBLE)) AS accuracy FROM documents, (VALUES ('the '), ('Apache License'), ('@example'), ('no such words')) t(x) GROUP BY doc_id",
     "name_similarity": f"SELECT s_suppkey, round({_sim('s_name', 'm')}, 6) AS sim, regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM (SELECT s_suppkey, s_name, 'SUPPLIER ' || n_name AS m FROM supplier JOIN nation ON s_nationkey = n_nationkey)",

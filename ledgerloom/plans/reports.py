@@ -40,6 +40,51 @@ def scoped_results(results: DataFrame, ein: str) -> DataFrame:
     return results.where(F.col("partnership_ein") == ein)
 
 
+def scoped_summary(results: DataFrame, groups: DataFrame, ein: str, pairs_checked: int) -> DataFrame:
+    """The counts of one partnership's results; year pairs count as checked only
+    if the partnership has records of more than one year."""
+    own = results.where(F.col("partnership_ein") == ein)
+    years = groups.where(F.col("partnership_ein") == ein).agg(F.count("*").alias("partnerships"))
+    bad = lambda s: F.count_if(~F.col("passed") & (F.col("severity") == s)).alias(f"{s}_failures")
+    counts = own.agg(
+        F.count("*").alias("total_checks"), F.count_if("passed").alias("passed_checks"), F.count_if(~F.col("passed")).alias("failed_checks"),
+        bad("critical"), bad("warning"), bad("advisory"),
+    )
+    pairs = F.when(F.col("partnerships") > 1, F.lit(pairs_checked)).otherwise(0).cast("long").alias("year_pairs_checked")
+    return counts.crossJoin(years).select(*counts.columns, "partnerships", pairs)  # one row each
+
+
+def present_fields(records: DataFrame, keys: list[str]) -> DataFrame:
+    """(field, value) of every field of a record that has a value."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in RECORD.fieldNames()))
+    return records.select(*keys, F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("p")).select(*keys, "p.*")
+
+
+def recognition_scores(readings: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per engine and profile: ground-truth strings found, asked for, accuracy,
+    seconds and characters.  ``readings`` has engine, profile, text, seconds; of
+    repeated readings all count."""
+    size = truth.count()
+    if size > MOST_LABELS:
+        raise ValueError(f"{size} ground-truth strings; at most {MOST_LABELS} are broadcast")
+    labels = F.broadcast(truth.agg(F.collect_list("expected").alias("expected")))
+    hits = F.size(F.filter("expected", lambda x: F.contains(F.coalesce("text", F.lit("")), x)))
+    marked = readings.crossJoin(labels).withColumns({"hits": hits, "total": F.size("expected")})
+    found = marked.groupBy("engine", "profile").agg(
+        F.sum("hits").alias("hits"), F.sum("total").alias("total"), F.sum("seconds").alias("seconds"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("characters")
+    )
+    return found.withColumn("accuracy", F.try_divide(F.col("hits"), F.col("total")))
+
+
+def batch_outcome(runs: DataFrame) -> DataFrame:
+    """Runs, successes, failures and seconds a document; ``runs`` has succeeded
+    and seconds."""
+    return runs.agg(
+        F.count("*").alias("runs"), F.count_if("succeeded").alias("successes"), F.count_if(~F.coalesce("succeeded", F.lit(False))).alias("failures"),
+        F.try_divide(F.sum("seconds"), F.count("*")).alias("seconds_a_document"),
+    )
+
+
 def failed_checks(rows: DataFrame, severity: str | None = None) -> DataFrame:
     failed = rows.where(~F.col("passed"))
     return failed if severity in (None, "all") else failed.where(F.col("severity") == severity)

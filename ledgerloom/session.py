@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -25,3 +26,30 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, f"{root.name}/{path.relative_to(root)}")
     context.addPyFile(str(archive))
     context._ledgerloom_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where none is named, a folder of this machine is made once and set, but only
+    if all of Spark runs here; on a cluster that is an error, since executors
+    would write where nobody reads.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}")
+        found = spark.sparkContext.getCheckpointDir()
+    # a path without a scheme belongs to the cluster's default file system
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and any
+    executor can reread it after another one is lost."""
+    path = f"{shared_dir(df.sparkSession)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
