@@ -3,14 +3,13 @@ table loading, ASCII words and hashing."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import shared_dir, ship_package
 
 #: The white space of every "word" contract here: blank and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -23,22 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only where the cluster names none (local tests) a folder of this machine is
-    made once and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}")
-        found = spark.sparkContext.getCheckpointDir()
-    # a path without a scheme belongs to the cluster's default file system
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
 

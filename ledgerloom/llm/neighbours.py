@@ -19,14 +19,17 @@
    search and audit follow anew, until an audit misses nothing; if the last
    audit stays below ``least_recall``, the run fails.
 
-Vectors that are null, zero, of another length than the first, or hold null or
-non-finite components link with nothing and are kept; equal vectors link; rows
-with one id are one vector each but share that id's component; an empty table
-gives no rows; only vec_id and embedding are read.
+Vectors that are null, zero, or hold null or non-finite components link with
+nothing and are kept, and so do rows without an id; vectors of different lengths
+do not link, those of one length are searched on their own; equal vectors link;
+rows with one id are one vector each but share that id's component; an empty
+table gives no rows; only vec_id and embedding are read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +39,11 @@ from .common import release, store, table
 from .components import connected_components
 
 LIST, ENLARGED, TABLES, BLOCK, AUDIT, AUDITS = 8, 32, 6, 512, 256, 6
+#: Rows of a component that are counted against as many others in one task.
+COUNT_BLOCK = 4096
+#: Cosines so near the threshold are computed again row by row, so that every
+#: step decides alike.
+NEAR = 1e-9
 
 
 def _matrix(column, dims: int, kind: str) -> np.ndarray:
@@ -144,6 +152,14 @@ def _descend(graph: DataFrame, kin: DataFrame | None, nodes: DataFrame, dims: in
     return graph.unionByName(offers).groupBy("a", "b").agg(F.max("s").alias("s"))
 
 
+def _reaches(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y have a cosine of at least ``threshold``."""
+    s = x @ y.T
+    i, j = np.nonzero(np.abs(s - threshold) < NEAR)
+    s[i, j] = np.einsum("ij,ij->i", x[i], y[j])
+    return s >= threshold
+
+
 def _exact_edges(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Edges whose cosine in double precision reaches the threshold."""
     rough = edges.where(F.col("s") >= threshold - 1e-3).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -163,7 +179,7 @@ def _exact_edges(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
 def _count_links(members: DataFrame, dims: int, threshold: float) -> DataFrame:
     """(id, links): for each node the rows it links with in its component,
     counted block by block; ``members`` has component, id, v, copies."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / COUNT_BLOCK).cast("int").alias("parts"))
     placed = members.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # a block meets every block of its component once; small components share groups
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
@@ -174,17 +190,25 @@ def _count_links(members: DataFrame, dims: int, threshold: float) -> DataFrame:
     )
 
     def count(group: pa.Table) -> pa.Table:
-        component = group.column("component").to_numpy()
-        order = np.argsort(component, kind="stable")
-        ids, part, copies = (group.column(c).to_numpy()[order] for c in ("id", "part", "copies"))
+        component, part = group.column("component").to_numpy(), group.column("part").to_numpy()
+        order = np.lexsort((part, component))
+        component, part, ids, copies = (group.column(c).to_numpy()[order] for c in ("component", "part", "id", "copies"))
         x = _matrix(group.column("v").combine_chunks(), dims, "<f8")[order]
-        bounds = np.flatnonzero(np.diff(component[order], prepend=component.min() - 1, append=component.max() + 1))
+        bounds = np.flatnonzero(np.diff(component, prepend=component.min() - 1, append=component.max() + 1))
         links = np.zeros(len(ids), np.int64)
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            own = part[lo:hi]
-            meets = (x[lo:hi] @ x[lo:hi].T >= threshold) & ((own[:, None] != own) | (own.min() == own.max()))
-            np.fill_diagonal(meets, False)
-            links[lo:hi] = meets @ copies[lo:hi]
+            # one part with itself, or two parts with each other
+            cut = lo + int(np.searchsorted(part[lo:hi], part[lo], "right"))
+            left, right = ((lo, hi), (lo, hi)) if cut == hi else ((lo, cut), (cut, hi))
+            for i in range(left[0], left[1], BLOCK):
+                for j in range(right[0], right[1], BLOCK):
+                    a, b = slice(i, min(i + BLOCK, left[1])), slice(j, min(j + BLOCK, right[1]))
+                    meets = _reaches(x[a], x[b], threshold)
+                    if cut == hi:
+                        meets &= ids[a, None] != ids[b]
+                    else:
+                        links[b] += meets.T @ copies[a]
+                    links[a] += meets @ copies[b]
         return pa.table({"id": ids, "links": links})
 
     return dealt.groupBy("small", "bucket", "i", "j").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
@@ -242,7 +266,7 @@ def _audit(nodes: DataFrame, dims: int, threshold: float, turn: int) -> DataFram
     def run(batches):
         for batch in batches:
             ids, c = batch.column("id").to_numpy(), batch.column("c").to_numpy()
-            i, j = np.nonzero(_matrix(batch.column("v"), dims, "<f8") @ q.T >= threshold)
+            i, j = np.nonzero(_reaches(_matrix(batch.column("v"), dims, "<f8"), q, threshold))
             keep = ids[i] != names[j]
             ends, n = np.unique(np.stack([own[j[keep]], c[i[keep]]], 1), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
@@ -253,11 +277,17 @@ def _audit(nodes: DataFrame, dims: int, threshold: float, turn: int) -> DataFram
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = LIST, least_recall: float = 0.98, rounds: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept and the audited recall."""
     vectors = store(_unit_vectors(rows), "vectors")
-    first = vectors.where("v is not null").select(F.octet_length("v").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    if first is None:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audited_recall"))
-    dims = first["n"] // 8
-    usable = vectors.where((F.octet_length("v") == dims * 8) & F.col("vec_id").isNotNull())
+    usable = vectors.where("v is not null and vec_id is not null")
+    lengths = sorted(r[0] for r in usable.select(F.octet_length("v")).distinct().collect())  # mostly one
+    alone = vectors.where("v is null or vec_id is null").select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audited_recall")
+    )
+    found = [_of_one_length(usable.where(F.octet_length("v") == n), n // 8, threshold, k, least_recall, rounds) for n in lengths]
+    return reduce(DataFrame.unionByName, found, alone)
+
+
+def _of_one_length(usable: DataFrame, dims: int, threshold: float, k: int, least_recall: float, rounds: int) -> DataFrame:
+    """The result for stored unit vectors (vec_id, v) of one length."""
     classes = store(usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     # two classes may share an id if rows do; the graph needs one vector an id
     nodes = classes.groupBy("id").agg(F.min("v").alias("v"), F.sum("copies").alias("copies")).withColumn("c", F.col("id"))
@@ -280,7 +310,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = LIST, leas
         classes.join(nodes.select("id", F.col("c").alias("component")), "id", "left").join(links, "id", "left")
         .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
-    return vectors.join(named, "v", "left").select(
+    return usable.join(named, "v", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"),

@@ -173,6 +173,23 @@ def test_tight_families_are_joined(spark):
     assert got[0].audited_recall == 1.0
 
 
+def test_lengths_ties_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "COUNT_BLOCK", 40)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(12) + 0.02 * rng.standard_normal((150, 12))
+    tie = [[1.0, 0.0], [0.9, (1 - 0.81) ** 0.5], [0.0, -1.0]]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200 + i, v) for i, v in enumerate(tie)]
+    rows += [(300, [1.0, 2.0, 3.0]), (301, [2.0, 4.0, 6.0]), (302, [5.0, -1.0, 0.0]), (302, [1.0, 2.0, 3.0]), (None, [1.0, 2.0, 3.0]), (None, None)]
+    got = {}
+    for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.vec_id, []).append((r.n_links, r.component_id))
+    assert all(got[i] == [(149, 0)] for i in range(150))
+    linked = got[200][0][0]  # rounding decides, but for every step alike
+    assert linked in (0, 1) and got[200] == [(linked, 200)] and got[201] == [(linked, 200 if linked else 201)] and got[202] == [(0, 202)]
+    assert {c for _, c in got[300] + got[301] + got[302]} == {300} and len(got[302]) == 2 and got[None] == [(0, None)] * 2
+
+
 def test_low_recall_fails(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "AUDITS", 1)
     monkeypatch.setattr(neighbours, "_closed", lambda nodes, kin, *a, **b: (nodes, kin))  # a search that finds nothing
