@@ -22,8 +22,8 @@
 Vectors that are null, zero, or hold null or non-finite components link with
 nothing and are kept, and so do rows without an id; vectors of different lengths
 do not link, those of one length are searched on their own; equal vectors link;
-rows with one id are one vector each but share that id's component; an empty
-table gives no rows; only vec_id and embedding are read.
+rows with one id are vectors of their own, of which the smallest takes part in
+the search where the id is the least of several; an empty table gives no rows; only vec_id and embedding are read.
 """
 
 from __future__ import annotations
