@@ -41,13 +41,17 @@ def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete stored tables that no later plan reads."""
+    """Delete stored tables that no later plan reads, and let Spark's cleaner
+    remove the shuffle files of plans that nothing refers to any more."""
+    spark = None
     for df in tables:
         path = getattr(df, "_ledgerloom_path", None)
         if path:
             spark = df.sparkSession
             jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
             jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    if spark is not None:
+        spark._jvm.java.lang.System.gc()
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:
