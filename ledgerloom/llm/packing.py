@@ -208,6 +208,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
                 ],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "block", "place"],
             )
+        if cache < CACHE_CHUNKS:
+            encoder.forget()
 
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
@@ -217,7 +219,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, cache: int = CACHE_CHUNKS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset; ``cache`` is
-    how many different chunks a worker remembers (memory against time)."""
+    how many different chunks a worker remembers (memory against time); fewer
+    than usual are also given up at the end of each task."""
     spark = docs.sparkSession
     pieces = store(tokenised_pieces(docs, tokenizer, capacity, end_id, cache), "pieces")
     counts = store(pieces.groupBy("block", "length").agg(F.count("*").alias("n")), "piece-counts")

@@ -52,6 +52,11 @@ class BpeEncoder:
         cls._of[path].most_chunks = most_chunks
         return cls._of[path]
 
+    def forget(self) -> None:
+        """Give the memory of the remembered chunks back."""
+        self.chunks.clear()
+        pa.default_memory_pool().release_unused()
+
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
