@@ -54,6 +54,13 @@ def release(*tables: DataFrame) -> None:
         spark._jvm.java.lang.System.gc()
 
 
+def slices_of(batches, rows: int = 1000):
+    """Arrow batches in slices of so many rows, which bound what Python holds at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo ``divisor``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(divisor)
