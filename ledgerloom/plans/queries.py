@@ -356,7 +356,7 @@ _NAMES = " ".join(f"WHEN '{short}' THEN '{long}'" for short, long in cross_rules
 
 ORACLES = {
     "rule_summary": f"SELECT {_COUNTS} FROM (SELECT *, {_SEVERITY} AS severity FROM ({_ALL_RULES}))",
-    "scoped_summary": f"""SELECT {_COUNTS}, any_value(p) AS partnerships, CAST(CASE WHEN any_value(p) > 1 THEN 5 ELSE 0 END AS BIGINT) AS year_pairs_checked
+    "scoped_summary": f"""SELECT {_COUNTS}, coalesce(any_value(p), 0) AS partnerships, CAST(CASE WHEN any_value(p) > 1 THEN 5 ELSE 0 END AS BIGINT) AS year_pairs_checked
       FROM (SELECT *, {_SEVERITY} AS severity FROM ({_ALL_RULES})), ({K1_SQL} SELECT count(DISTINCT tax_year) AS p FROM k1 WHERE partnership_ein = '07-0000065') WHERE partnership_ein = '07-0000065'""",
     "published_rule_ids": f"SELECT CASE rule_id {_NAMES} END AS rule_id, {_SEVERITY} AS severity, count(*) AS n, count(*) FILTER (passed) AS passed_n FROM ({_ALL_RULES}) q GROUP BY q.rule_id",
     "scoped_records": K1_SQL + " SELECT partnership_ein, partner_tin, tax_year, distributions FROM k1 WHERE partnership_ein = '07-0000065' AND tax_year = '1995'",
