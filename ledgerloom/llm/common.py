@@ -14,11 +14,22 @@ from ..session import shared_dir, ship_package
 #: The white space of every "word" contract here: blank and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of one Arrow batch, unless the session sets its own limit: a task holds
+#: a batch in the JVM and again in Python, whatever the lengths of the texts.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes where the session does not say otherwise."""
+    if _BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table; only Spark's readers touch the path."""
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +41,7 @@ def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     """Write ``df`` to the shared folder and read it back: a plan cut that any
     executor can reread after another one is lost."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = fresh_path(spark, name)
     out = df.write
     if partition_by:

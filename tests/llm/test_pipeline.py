@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -70,3 +71,25 @@ def test_near_copies_at_five_words(spark):
     far = [(d, t) for d, t in rows if d % 10 in (0, 4)]  # 5 words: below 0.8
     docs = spark.createDataFrame(far, "doc_id long, text string")
     assert {r.doc_id for r in pipeline.STAGES[2][1](spark, docs, "").collect()} == brute_five_words(far) == {d for d, _ in far}
+
+
+def test_batches_are_bounded_by_bytes_unless_the_session_says_otherwise(spark):
+    from ledgerloom.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(300, numPartitions=1).selectExpr("id as doc_id", "repeat('long text ', 10000) as text")
+    try:
+        spark.conf.unset(key)
+        common.bound_batches(spark)
+        found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) == 300 and max(found) <= common.BATCH_BYTES // 100_000 + 1
+        spark.conf.set(key, "1g")
+        common.bound_batches(spark)
+        assert spark.conf.get(key) == "1g"
+        assert [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()] == [300]
+    finally:
+        spark.conf.unset(key)
