@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import give_back, remainder, table
 from .tokens import slices
 
 MAX_LABELLED, PAIRS, THRESHOLD = 20_000, 200_000, 0.7
@@ -142,6 +142,7 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
                     [batch.column(0).slice(lo, hi - lo), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))],
                     names=["doc_id", "score", "predicted"],
                 )
+        give_back()
 
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, score double, predicted int")
@@ -157,6 +158,7 @@ def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
             found = [shared.value(_statistics_of(texts[lo:hi])) for lo, hi in slices(texts)]
             if found:
                 yield batch.filter(pa.array(np.concatenate(found) >= THRESHOLD))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -3,9 +3,11 @@ table loading, ASCII words and hashing."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,10 +69,21 @@ def release(*tables: DataFrame) -> None:
 
 
 def slices_of(batches, rows: int = 1000):
-    """Arrow batches in slices of so many rows, which bound what Python holds at once."""
+    """Arrow batches in slices of so many rows, which bound what Python holds at
+    once; after the last one the worker gives free memory back."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: Spark keeps the worker for
+    later tasks, and what its allocators hold would count beside theirs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 #: Chunks remembered by a worker; when full, it starts afresh.
 CACHE_CHUNKS = 900_000
 #: Characters of the same class in every Unicode version; a chunk with another
@@ -55,7 +57,7 @@ class BpeEncoder:
     def forget(self) -> None:
         """Give the memory of the remembered chunks back."""
         self.chunks.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
