@@ -78,6 +78,35 @@ def currency(value: Column) -> Column:
     return F.when(value < 0, F.format_string("($%,.2f)", -value)).otherwise(F.format_string("$%,.2f", value))
 
 
+def is_number(text: Column) -> Column:
+    """Whether a text is digits with at most one point and one minus sign."""
+    return F.coalesce(text.rlike(r"^(?!.*-.*-)(?!.*[.].*[.])[0-9.-]*[0-9][0-9.-]*$"), F.lit(False))
+
+
+def percent(value: Column) -> Column:
+    """One decimal and a percent sign; a dash for null."""
+    return F.when(value.isNull(), "\u2014").otherwise(F.format_string("%.1f%%", value.cast("double")))
+
+
+def ratio(value: Column) -> Column:
+    """Two decimals and an x; a dash for null."""
+    return F.when(value.isNull(), "\u2014").otherwise(F.format_string("%.2fx", value.cast("double")))
+
+
+def short_time(iso: Column) -> Column:
+    """Day and minute of an ISO time."""
+    return F.replace(F.substring(iso, 1, 16), F.lit("T"), F.lit(" "))
+
+
+def run_folder(stem: Column, at: Column) -> Column:
+    return F.concat(stem, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"))
+
+
+def folder_title(folder: Column) -> Column:
+    """A run folder's name without its time, underscores as blanks."""
+    return F.regexp_replace(F.regexp_replace(folder, r"_\d{8}_\d{6}$", ""), "_", " ")
+
+
 def replace_all(text: Column, pairs: Column) -> Column:
     """Replace every ``placeholder`` by its ``original``, in array order."""
     return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["placeholder"], p["original"]))

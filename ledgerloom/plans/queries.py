@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.minify import minify
-from ..functions.text import mask_ein, mask_tin, partner_class, preview, similarity, slug
+from ..functions.text import band, currency, folder_title, is_number, mask_ein, mask_tin, parse_amount, partner_class, preview, replace_all, run_folder, short_time, similarity, slug
 from ..operators import checks, cross_rules, spans
 from ..schemas import AMOUNT_FIELDS, INCOME6, INCOME7, KEY, RECORD, SUMMARY_FIELDS
 from ..session import ship_package, stored
 from ..sources import files
-from . import dashboard, reports
+from . import dashboard, reports, results
 from .k1_view import K1_SQL, k1_records
 
 def _shown(rows: DataFrame) -> DataFrame:
@@ -169,6 +169,87 @@ def q_pages(spark, sf_dir):
     return reports.stitch_pages(talk.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("page"), "text")).select("run_id", "full_text", "chars")
 
 
+def _letters(spark, sf_dir):
+    """A text for each record, with the numbers a letter would hold; every third
+    partner is named by a second partnership number."""
+    tin = F.when(F.substring("partner_tin", -1, 1).isin("0", "3", "6", "9"), F.concat(F.substring("partner_tin", 1, 2), F.lit("-"), F.substring(F.replace("partner_tin", F.lit("-"), F.lit("")), 3, 7))).otherwise(F.col("partner_tin"))
+    text = F.concat(F.lit("Partnership "), "partnership_ein", F.lit(" of partner "), tin, F.lit("; again "), "partnership_ein", F.lit(", "), "tax_year")
+    return k1_records(spark, sf_dir).withColumn("text", text).withColumn("run_id", F.concat_ws("/", *KEY))
+
+
+def q_identifiers(spark, sf_dir):
+    rows = spans.sanitize(_letters(spark, sf_dir))
+    return rows.select("run_id", "sanitized_text", spans.resolve_identifiers(F.col("mapping")).alias("who")).select("run_id", "sanitized_text", "who.*")
+
+
+def q_restored(spark, sf_dir):
+    """Sanitized texts read back through the mapping of their run."""
+    rows = spans.sanitize(_letters(spark, sf_dir)).withColumn("report_dir", F.col("tax_year"))
+    own = rows.where("partnership_ein < '15'").select("run_id", "mapping")
+    reports_ = dashboard.resolve_mappings(rows.select("run_id", "report_dir", "sanitized_text"), own, own.limit(0).withColumnRenamed("run_id", "report_dir"))
+    return dashboard.resolved(reports_, ["sanitized_text"]).select("run_id", F.col("sanitized_text").alias("shown"))
+
+
+def q_result_documents(spark, sf_dir):
+    letters = stored(reports.with_analysis(_letters(spark, sf_dir)), "letters")
+    statuses = checks.with_status(checks.report(letters)).select("run_id", "status", "critical_count", "warning_count", "advisory_count")
+    found = letters.select("run_id", F.explode(spans.detect(F.col("text"))).alias("s")).select("run_id", "s.entity_type")
+    rules = cross_rules.percent_rules(cross_rules.totals(letters)).agg(F.count("*").alias("total"))
+    documents = results.run_documents(letters, statuses, results.entity_totals(found), rules=rules, generated_at="2025-01-01T00:00:00Z")
+    return documents.select(
+        "run_id", "pipeline_run.generated_at", "k1_data.distributions", F.round(F.col("financial_analysis.net_taxable_income") * 100, 0).cast("long").alias("net_cents"),
+        F.col("pii_stats.total_entities_detected").alias("entities"), results.by_count(F.col("pii_stats.entity_counts"))[0]["entity_type"].alias("most_frequent"),
+        "validation.overall_status", "validation.deterministic.critical_count", F.col("validation.ai").isNull().alias("unjudged"), "output_files.full_report",
+        F.get_json_object("cross_partner_validation", "$.total").cast("long").alias("rules_total"),
+    )
+
+
+def q_rule_document(spark, sf_dir):
+    records = _kept(spark, sf_dir)
+    one = dashboard.rule_document(cross_rules.percent_rules(cross_rules.totals(records)), reports.partnerships(records))
+    return one.select("total", "passed", "failed", F.size("partnerships").alias("partnerships"), F.size("failures").alias("failures"), F.element_at("partnerships", 1)["k1_count"].alias("first_k1_count"))
+
+
+def q_score_bands(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = docs.select("doc_id", F.explode(spans.detect(F.col("text"))).alias("s")).select("doc_id", "s.*")
+    shown = dashboard.score_bands(found, 0.7)
+    return shown.groupBy("entity_type", "percent", band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+
+
+def q_shown_values(spark, sf_dir):
+    """Small values as a page shows and reads them."""
+    at = F.make_timestamp(F.col("tax_year").cast("int"), F.lit(3), F.lit(4), F.lit(5), F.lit(6), F.lit(7))
+    folder = run_folder(slug(F.col("partnership_name")), at)
+    whole = F.round("ordinary_business_income", 0)
+    rows = k1_records(spark, sf_dir)
+    return rows.select(
+        *KEY, folder.alias("folder"), folder_title(folder).alias("title"), short_time(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).alias("minute"),
+        is_number(F.col("partner_tin")).alias("tin_number"), is_number(F.col("tax_year")).alias("year_number"), parse_amount(currency(whole)).cast("double").alias("income"),
+        results.bar_scale("partner_share_percentage", "qbi_deduction").alias("scale"),
+    )
+
+
+def q_form_fields(spark, sf_dir):
+    rows = dashboard.form_fields(k1_records(spark, sf_dir), {"name": "partnership_name", "type": "partner_type", "qualified": "qualified_dividends", "qbi": "qbi_deduction"})
+    return rows.groupBy(F.array_join(F.sort_array(F.map_keys("form")), ",").alias("fields")).agg(F.count("*").alias("n"))
+
+
+def q_ingest_status(spark, sf_dir):
+    blank = F.when(F.substring("partner_tin", -1, 1) == "1", F.lit(" ")).otherwise(F.col("partner_tin"))
+    return files.with_ingest_status(k1_records(spark, sf_dir).withColumn("partner_tin", blank)).groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+def q_assembled(spark, sf_dir):
+    letters = stored(_letters(spark, sf_dir), "letters")
+    who = letters.select("run_id", "partnership_ein", "partner_tin")
+    ingested = letters.select("run_id", F.concat("run_id", F.lit(".pdf")).alias("source_pdf_name"), F.sha2("text", 256).alias("pdf_sha256"))
+    rows = checks.check_rows(letters, ["run_id"])
+    judged = letters.where(F.col("tax_year") > "1995").select("run_id", F.lit(0.5).alias("ai_coherence_score"))
+    fields = letters.drop("partnership_ein", "partner_tin", "text")
+    return files.assemble_records(ingested, fields, who, rows, judged).select(*KEY, "source_pdf_name", "pdf_sha256", "distributions", "deterministic_critical_count", "deterministic_passed", "ai_coherence_score")
+
+
 def q_failed_critical(spark, sf_dir):
     rows = checks.check_rows(k1_records(spark, sf_dir), KEY)
     return reports.failed_checks(rows, "critical").select(*KEY, "rule_id")
@@ -221,7 +302,9 @@ QUERIES = {
     "minified_text": q_minified, "ground_truth_recall": q_recall, "name_similarity": q_similarity,
     "scoped_summary": q_scoped_summary, "published_rule_ids": q_published_ids, "scoped_records": q_scope, "present_fields": q_present_fields,
     "recognition_scores": q_recognition, "batch_outcome": q_batch_outcome, "report_list": q_report_list, "masked_names": q_masked,
-    "stitched_pages": q_pages,
+    "stitched_pages": q_pages, "resolved_identifiers": q_identifiers, "restored_text": q_restored, "result_documents": q_result_documents,
+    "rule_document": q_rule_document, "score_bands": q_score_bands, "shown_values": q_shown_values, "form_fields": q_form_fields,
+    "ingest_status": q_ingest_status, "assembled_records": q_assembled,
 }
 
 # --- SQL -------------------------------------------------------------------
@@ -354,7 +437,31 @@ _MODES = {"patterns": ("EIN", "EMAIL_ADDRESS", "PHONE_NUMBER"), "zero_shot": ("C
 _MODE_SUMS = ", ".join(f"CAST(sum(CASE WHEN entity_type IN {types} THEN n ELSE 0 END) AS BIGINT) AS {mode}" for mode, types in _MODES.items())
 _NAMES = " ".join(f"WHEN '{short}' THEN '{long}'" for short, long in cross_rules.PUBLISHED.items())
 
+_LETTERS = K1_SQL + """, lt AS (SELECT *, partnership_ein || '/' || partner_tin || '/' || tax_year AS run_id,
+    CASE WHEN right(partner_tin, 1) IN ('0', '3', '6', '9') THEN left(partner_tin, 2) || '-' || substr(replace(partner_tin, '-', ''), 3, 7) ELSE partner_tin END AS shown_tin FROM k1)"""
+_LETTER = "'Partnership ' || partnership_ein || ' of partner ' || shown_tin || '; again ' || partnership_ein || ', ' || tax_year"
+_HIDDEN = "'Partnership <EIN_1> of partner ' || CASE WHEN shown_tin = partner_tin THEN '<US_SSN_1>' WHEN shown_tin = partnership_ein THEN '<EIN_1>' ELSE '<EIN_2>' END || '; again <EIN_1>, ' || tax_year"
+_RULE_ROWS = f"({K1_SQL} {_A1A2})"
+
 ORACLES = {
+    "resolved_identifiers": f"{_LETTERS} SELECT run_id, {_HIDDEN} AS sanitized_text, partnership_ein, nullif(shown_tin, partnership_ein) AS partner_tin FROM lt",
+    "restored_text": f"{_LETTERS} SELECT run_id, CASE WHEN partnership_ein < '15' THEN {_LETTER} ELSE {_HIDDEN} END AS shown FROM lt",
+    "result_documents": f"""SELECT run_id, '2025-01-01T00:00:00Z' AS generated_at, distributions, CAST(round(net_taxable_income * 100, 0) AS BIGINT) AS net_cents, CAST(3 AS BIGINT) AS entities,
+      'EIN' AS most_frequent, CASE WHEN critical_count > 0 THEN 'failed' WHEN warning_count > 0 THEN 'warnings' ELSE 'passed' END AS overall_status, critical_count, true AS unjudged,
+      'output/' || run_id || '/k1_report.json' AS full_report, (SELECT count(*) FROM {_RULE_ROWS}) AS rules_total
+      FROM ({K1_SQL}{_ANALYSIS} SELECT partnership_ein || '/' || partner_tin || '/' || tax_year AS run_id, distributions, net_taxable_income FROM an2)
+      JOIN ({K1_SQL}{_CHECKED}, st AS ({_STATUS}) SELECT partnership_ein || '/' || partner_tin || '/' || tax_year AS run_id, critical_count, warning_count FROM st) USING (run_id)""",
+    "rule_document": f"""SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, any_value(p) AS partnerships, CAST(count(*) FILTER (NOT passed) AS INT) AS failures,
+      any_value(first_k1_count) AS first_k1_count FROM {_RULE_ROWS}, (SELECT CAST(count(*) AS INT) AS p, arg_min(n, {{'e': partnership_ein, 'y': tax_year}}) AS first_k1_count FROM ({K1_SQL} SELECT partnership_ein, tax_year, count(*) AS n FROM k1 GROUP BY ALL))""",
+    "score_bands": "SELECT entity_type, CAST(round(score * 100) AS INT) AS percent, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS band, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS entity_type, CAST({score} AS DOUBLE) AS score, len(regexp_extract_all(text, '{rx}')) AS n FROM documents" for t, (rx, score) in spans.RECOGNISERS.items()) + ") WHERE score >= 0.7 AND n > 0 GROUP BY ALL",
+    "shown_values": K1_SQL + """ SELECT partnership_ein, partner_tin, tax_year, regexp_replace(lower(partnership_name), '[^a-z0-9]+', '_', 'g') || '_' || tax_year || '0304_050607' AS folder,
+      regexp_replace(lower(partnership_name), '[^a-z0-9]+', ' ', 'g') AS title, tax_year || '-03-04 05:06' AS minute, false AS tin_number, true AS year_number,
+      round(ordinary_business_income, 0) AS income, greatest(1.0, coalesce(partner_share_percentage, 0), coalesce(qbi_deduction, 0)) AS scale FROM k1""",
+    "form_fields": K1_SQL + " SELECT array_to_string(list_filter(['name', CASE WHEN qbi_deduction IS NOT NULL THEN 'qbi' END, CASE WHEN qualified_dividends IS NOT NULL THEN 'qualified' END, 'type'], lambda x: x IS NOT NULL), ',') AS fields, count(*) AS n FROM k1 GROUP BY ALL",
+    "ingest_status": K1_SQL + " SELECT CASE WHEN right(partner_tin, 1) = '1' THEN 'skipped' ELSE 'stored' END AS status, CASE WHEN right(partner_tin, 1) = '1' THEN 'missing partner_tin' END AS reason, count(*) AS n FROM k1 GROUP BY ALL",
+    "assembled_records": f"""SELECT partnership_ein, partner_tin, tax_year, run_id || '.pdf' AS source_pdf_name, sha256({_LETTER}) AS pdf_sha256, distributions, critical_count AS deterministic_critical_count,
+      critical_count = 0 AS deterministic_passed, CASE WHEN tax_year > '1995' THEN CAST(0.5 AS DOUBLE) END AS ai_coherence_score
+      FROM ({_LETTERS} SELECT * FROM lt) JOIN ({K1_SQL}{_CHECKED}, st AS ({_STATUS}) SELECT partnership_ein, partner_tin, tax_year, critical_count FROM st) USING (partnership_ein, partner_tin, tax_year)""",
     "rule_summary": f"SELECT {_COUNTS} FROM (SELECT *, {_SEVERITY} AS severity FROM ({_ALL_RULES}))",
     "scoped_summary": f"""SELECT {_COUNTS}, coalesce(any_value(p), 0) AS partnerships, CAST(CASE WHEN any_value(p) > 1 THEN 5 ELSE 0 END AS BIGINT) AS year_pairs_checked
       FROM (SELECT *, {_SEVERITY} AS severity FROM ({_ALL_RULES})), ({K1_SQL} SELECT count(DISTINCT tax_year) AS p FROM k1 WHERE partnership_ein = '07-0000065') WHERE partnership_ein = '07-0000065'""",

@@ -24,6 +24,32 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*", exclude: tuple
     return found.select("path", "length", "modificationTime").where(keep).orderBy("path")
 
 
+def select_input(files: DataFrame, run_id: str | None = None) -> DataFrame:
+    """The file of a run, or else the first by path outside the folders of
+    archived and batch files."""
+    if run_id:
+        return files.where(F.element_at(F.split("path", "/"), -1) == f"{run_id}.pdf")
+    waiting = files.where(~F.col("path").contains("/archive/") & ~F.col("path").contains("/batch/"))
+    first = waiting.agg(F.min("path").alias("path"))
+    return files.join(F.broadcast(first), "path", "left_semi")  # one row
+
+
+def collect_files(spark: SparkSession, folders: list[str], glob: str) -> DataFrame:
+    """Matching files of several folders, by path."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folders)
+    return found.select("path", "length", "modificationTime").orderBy("path")
+
+
+def read_object(spark: SparkSession, path: str, kind: str = "text", schema: str | None = None) -> DataFrame:
+    """Objects at a key or glob: ``bytes``, whole ``text`` or ``json`` documents."""
+    if kind == "bytes":
+        return spark.read.format("binaryFile").load(path).select("path", "content")
+    if kind == "json":
+        reader = spark.read.option("multiLine", "true")
+        return (reader.schema(schema) if schema else reader).json(path)
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

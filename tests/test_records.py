@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import currency, mask_ein, mask_tin, parse_amount, partner_class, preview, replace_all, similarity, slug, strip
+from ledgerloom.functions.text import currency, folder_title, is_number, mask_ein, mask_tin, parse_amount, partner_class, percent, preview, ratio, replace_all, run_folder, short_time, similarity, slug, strip
 from ledgerloom.operators import checks, cross_rules
 from ledgerloom.plans import queries, reports
 from ledgerloom.schemas import AMOUNT_FIELDS, RECORD, TABLE
@@ -98,6 +98,17 @@ def test_text_functions(spark):
     assert value(replace_all(lit("<X_10> <X_1>"), pairs)) == "ten one"
 
 
+def test_shown_values(spark):
+    value = lambda c: spark.range(1).select(c.alias("x")).first().x
+    lit = F.lit
+    assert [value(is_number(lit(t))) for t in ("12", "-1.5", "1.2.3", "1-2-3", "", ".", "a1", None)] == [True, True, False, False, False, False, False, False]
+    assert value(percent(lit(12.34))) == "12.3%" and value(percent(lit(None))) == "\u2014"
+    assert value(ratio(lit(0.456))) == "0.46x" and value(ratio(lit(None))) == "\u2014"
+    assert value(short_time(lit("2025-03-04T05:06:07+00:00"))) == "2025-03-04 05:06"
+    assert value(folder_title(lit("red_mesa_20250304_050607"))) == "red mesa"
+    assert value(run_folder(lit("red_mesa"), lit("2025-03-04 05:06:07").cast("timestamp"))) == "red_mesa_20250304_050607"
+
+
 def test_repeated_records(spark):
     row = {f.name: None for f in TABLE.fields} | {"partnership_ein": "1", "tax_year": "2024", "pdf_sha256": "h"}
     def made(tin, run, **more):
