@@ -28,6 +28,8 @@ RECOGNISERS = {
     "IBAN_CODE": (r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0.8),
     "IP_ADDRESS": (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", 0.95),
 }
+#: What every match of a recogniser holds: texts without it are not searched.
+NEEDED = {"EIN": "-", "US_SSN": "-", "EMAIL_ADDRESS": "@", "PHONE_NUMBER": "(", "IP_ADDRESS": "."}
 ALLOWED_TERMS = [
     "partner", "partners", "partnership", "partnerships", "general partner", "limited partner", "domestic partner", "foreign partner",
     "schedule k-1", "k-1", "form 1065", "form 1120-s", "keogh", "ira", "llc", "llp", "lp", "individual", "corporation", "trust", "estate",
@@ -41,11 +43,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def pattern_spans(text: Column, entity: str, pattern: str, score: float) -> Column:
+def pattern_spans(text: Column, entity: str, pattern: str, score: float, needed: str | None = None) -> Column:
     """All matches with code-point offsets: what lies between matches tells
-    where each begins."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN_TYPE}>").alias("out"))
-    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    where each begins; texts without a match are not split."""
+    none = F.array().cast(f"array<{SPAN_TYPE}>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def spans(p):
         def step(acc, x):
@@ -57,12 +59,17 @@ def pattern_spans(text: Column, entity: str, pattern: str, score: float) -> Colu
         pairs = F.zip_with(p["hits"], F.slice(p["gaps"], 1, F.size(p["hits"])), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
         return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
-    return let(parts, spans)
+    def located(hits):
+        parts = F.struct(hits.alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+        return F.when(F.size(hits) == 0, none).otherwise(let(parts, spans))
+
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
+    return found if needed is None else F.when(text.contains(needed), found).when(text.isNotNull(), none)
 
 
 def detect(text: Column, types: list[str] | None = None) -> Column:
     """Spans of the built-in recognisers, by type in the order of the table."""
-    found = [pattern_spans(text, t, *RECOGNISERS[t]) for t in (types or RECOGNISERS)]
+    found = [pattern_spans(text, t, *RECOGNISERS[t], NEEDED.get(t)) for t in (types or RECOGNISERS)]
     return reduce(F.concat, found)
 
 
