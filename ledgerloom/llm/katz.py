@@ -44,6 +44,8 @@ CUT = 5
 #: A word with more than this share of all tokens is dealt by pair; so many at most.
 HOT_SHARE = 1 / 4000
 CHUNK_TOKENS, FLUSH_ROWS = 600_000, 500_000
+#: Bits of a number that holds bucket, word and history of a token while sorting.
+FIELDS = 64
 _A = np.uint64(0x9E3779B97F4A7C15)
 _SUMS = ["n_tokens", "n_known", *(f"k{r}" for r in range(1, CUT + 1))]
 
@@ -173,23 +175,23 @@ def _deal_pairs(rows: DataFrame, words, buckets: int) -> DataFrame:
             bucket = (mix(np.where(hot, w * _A + h, w)) % np.uint64(buckets)).astype(np.uint64)
         names, inverse = np.unique(np.concatenate([w, h]), return_inverse=True)
         wid, hid = inverse[: len(w)].astype(np.uint64), inverse[len(w) :].astype(np.uint64)
-        key = (bucket << np.uint64(46)) | (wid << np.uint64(23)) | hid
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        # one posting for each pair and document
-        new_pair = np.concatenate([[True], key[1:] != key[:-1]])
+        width = np.uint64(int(len(names)).bit_length())
+        if int(buckets).bit_length() + 2 * int(width) <= FIELDS:
+            order = np.argsort((bucket << (width + width)) | (wid << width) | hid, kind="stable")
+        else:  # more words or buckets than one number holds
+            order = np.lexsort((hid, wid, bucket))
+        bucket, wid, hid, doc = (x[order] for x in (bucket, wid, hid, doc))
+        # one posting for each pair and document; a word's or pair's bucket is its own
+        new_pair = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (wid[1:] != wid[:-1]) | (hid[1:] != hid[:-1])])
         new_post = new_pair | np.concatenate([[True], doc[1:] != doc[:-1]])
         at = np.flatnonzero(new_post)
-        count = np.diff(at, append=len(key)).astype(np.uint32)
-        key, doc, new_pair = key[at], doc[at], new_pair[at]
-        pair_at = np.flatnonzero(new_pair)
-        posts = np.diff(pair_at, append=len(key)).astype(np.uint32)
-        pair = key[pair_at]
-        pair_bucket = (pair >> np.uint64(46)).astype(np.int64)
-        mask = np.uint64((1 << 23) - 1)
-        pair_w, pair_h = ((pair >> np.uint64(23)) & mask).astype(np.int64), (pair & mask).astype(np.int64)
-        cuts = np.concatenate([np.flatnonzero(np.diff(pair_bucket, prepend=-1)), [len(pair)]])
-        post_at = np.concatenate([pair_at, [len(key)]])
+        count = np.diff(at, append=len(order)).astype(np.uint32)
+        doc = doc[at]
+        pair_at = np.flatnonzero(new_pair[at])
+        posts = np.diff(pair_at, append=len(at)).astype(np.uint32)
+        pair_bucket, pair_w, pair_h = (x[at[pair_at]].astype(np.int64) for x in (bucket, wid, hid))
+        cuts = np.concatenate([np.flatnonzero(np.diff(pair_bucket, prepend=-1)), [len(pair_w)]])
+        post_at = np.concatenate([pair_at, [len(at)]])
         ids_, train_ = np.array(ids, np.int64), np.array(train, np.uint8)
         by_id = np.argsort(ids_, kind="stable")
         rank = np.empty(len(ids_), np.int64)

@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": rules.ORACLE,
+    "op6_sharding": sharding.ORACLE,
 }

@@ -86,3 +86,28 @@ def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
+#: The query in SQL: crc32 by a table of bytes, jump hashing by recursion in
+#: wide integers, slots by row number.
+ORACLE = """
+WITH RECURSIVE bit(i, v, step) AS (
+  SELECT i, i, 0 FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bit WHERE step < 8
+), crc_table AS (SELECT list(v ORDER BY i) AS t FROM bit WHERE step = 8),
+rows_ AS (
+  SELECT doc_id, coalesce(doc_id, 0) AS stable, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+      lambda c, x: xor(c >> 8, t[CAST(xor(c & 255, x) AS INT) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM documents, crc_table
+), jump(stable, n, key, b, j) AS (
+  SELECT DISTINCT stable, n, (CAST(stable AS HUGEINT) + 18446744073709551616) % 18446744073709551616, CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  FROM rows_, (VALUES (8), (9)) x(n)
+  UNION ALL SELECT stable, n, next, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST((next // 8589934592) + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616 AS next FROM jump WHERE j < n)
+), shards AS (
+  SELECT stable, CAST(max(b) FILTER (n = 8) AS INT) AS shard, CAST(max(b) FILTER (n = 9) AS INT) AS grown_shard FROM jump WHERE j >= n GROUP BY stable
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY stable, text_crc32, size) - 1 AS slot, grown_shard
+FROM rows_ JOIN shards USING (stable)
+"""

@@ -56,6 +56,13 @@ def test_scores_equal_brute_force(spark, corpus, monkeypatch):
     same({r.doc_id: r for r in katz.score_texts(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}, brute_model(corpus))
 
 
+def test_scores_over_many_chunks_and_flushes(spark, corpus, monkeypatch):
+    """Chunks, flushes and sort keys of small bounds, so that every path is taken."""
+    for name, value in {"CHUNK_TOKENS": 900, "FLUSH_ROWS": 40, "FIELDS": 0}.items():
+        monkeypatch.setattr(katz, name, value)
+    same({r.doc_id: r for r in katz.score_texts(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}, brute_model(corpus))
+
+
 def test_edge_cases(spark, edge, nothing):
     rows = [(d, t) for d, t in edge_rows() if d not in (None, 50)]
     docs = edge.where("doc_id <> 50 or doc_id is null")

@@ -84,6 +84,59 @@ def test_jump_hash_and_growth():
     assert np.bincount(got).min() > 180
 
 
+def test_sharding_query_equals_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    found = con.execute(sharding.ORACLE)
+    names = [c[0] for c in found.description]
+    got = sharding.op6_sharding(spark, sf)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(found.fetchall())
+
+
+def test_shard_of_each_row_equals_brute_force(spark):
+    ids = [0, 1, -1, -(2**63), 2**63 - 1, *range(10**12, 10**12 + 400)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r for r in sharding.assign_shards(docs, 8).collect()}
+    for i in ids:
+        assert (got[i].shard, got[i].grown_shard) == (brute_jump(i % 2**64, 8), brute_jump(i % 2**64, 9))
+        assert got[i].text_crc32 == zlib.crc32(f"text {i}".encode()) and got[i].law == "key"
+
+
+def plain_ranking(rows, labels):
+    """Weights by plain gradient descent, pair by pair in one matrix, and the
+    quantile threshold, from the same statistics."""
+    known = {i: q for i, q in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    pairs = sorted((q, classifier.statistics(dict(rows)[i])) for i, q in known.items())
+    x, y = np.array([s for _, s in pairs]), np.array([q for q, _ in pairs])
+    ranker = classifier.Ranker(x, y)
+    z = ranker.features(x)
+    rng = np.random.default_rng(11)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    delta = z[rng.choice(good, classifier.PAIRS)] - z[rng.choice(bad, classifier.PAIRS)]
+    w = ranker.weights
+    gradient = -(delta / (1 + np.exp(delta @ w))[:, None]).mean(0) + 1e-3 * w
+    assert np.abs(gradient).max() < 1e-5  # the minimum of a convex loss
+    cut = np.quantile(z @ w, len(bad) / len(y))
+    raw = {i: float(ranker.features(np.array([classifier.statistics(t)]))[0] @ w) for i, t in rows}
+    return {i: 1 / (1 + np.exp(-np.clip(r - cut + np.log(0.7 / 0.3), -30, 30))) for i, r in raw.items()}
+
+
+def test_classifier_query_equals_plain_ranking(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()]
+    expected = plain_ranking(rows, labels)
+    got = classifier.op1_quality_classifier(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    for r in got:
+        assert abs(r.score - expected[r.doc_id]) < 1e-6 and r.predicted == (r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_shards_have_gapless_slots(spark, edge, nothing):
     rows = sharding.assign_shards(edge, 4).collect()
     assert len(rows) == 15
