@@ -52,4 +52,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor can reread it after another one is lost."""
     path = f"{shared_dir(df.sparkSession)}/ledgerloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._ledgerloom_path = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_ledgerloom_path", None)
+        if path:
+            jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)

@@ -154,10 +154,16 @@ class RecordTable:
             self._fs.delete(self._path(f"{self.root}/versions/{version:012d}.json"), False)
 
 
-def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
+def last_of_key(new: DataFrame) -> DataFrame:
+    """The last record of every whole key; of records of one time and run the
+    last by its text."""
     usable = new.where(" AND ".join(f"{k} IS NOT NULL" for k in KEY))
-    order = F.struct(*(F.col(c) for c in ("ingested_at", "run_id") if c in new.columns))
-    last = usable.groupBy(*KEY).agg(F.max_by(F.struct("*"), order).alias("r")).select("r.*")
+    order = F.struct(*(F.col(c) for c in ("ingested_at", "run_id") if c in new.columns), F.to_json(F.struct("*")))
+    return usable.groupBy(*KEY).agg(F.max_by(F.struct("*"), order).alias("r")).select("r.*")
+
+
+def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
+    last = last_of_key(new)
     return stored.join(last, KEY, "left_anti").select(*new.columns).unionByName(last)
 
 
