@@ -32,14 +32,14 @@ _dec = lambda c: F.col(c).cast("decimal(18,2)")
 
 
 def _rows(df: DataFrame, rule: str, severity: str, passed: Column, tin: Column | None = None, detail: Column | None = None,
-          observed: Column | None = None, threshold: float | Column | None = None) -> DataFrame:
+          observed: Column | None = None, threshold: float | Column | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
     none = F.lit(None)
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
     return df.select(
         F.lit(rule).alias("rule_id"), F.lit(rule[0]).alias("category"), F.lit(severity).alias("severity"), passed.alias("passed"),
         "partnership_ein", "tax_year", (none if tin is None else tin).cast("string").alias("partner_tin"),
         (none if detail is None else detail).cast("string").alias("detail"),
-        F.round((none if observed is None else observed).cast("double"), 6).alias("observed"), limit.cast("double").alias("threshold"),
+        F.round((none if observed is None else observed).cast("double"), 6).alias("observed"), limit.cast("double").alias("threshold"), *more,
     )
 
 
@@ -66,7 +66,7 @@ def totals(records: DataFrame) -> DataFrame:
         F.count("*").alias("members"), F.count("pct").alias("n_pct"), F.sum("pct").alias("sum_pct"),
         F.count_if("valid").alias("n_valid"), when("valid", F.col("pct")).alias("sum_valid"),
         F.count_if("held").alias("n_held"), when("held", F.col("pct")).alias("sum_held"),
-        when("held", _dec("capital_account_ending")).alias("sum_end"), F.sum(_dec("distributions")).alias("sum_dist"),
+        when("held", _dec("capital_account_ending")).alias("sum_end"), F.sum(_dec("distributions")).alias("sum_dist"), F.count("distributions").alias("n_dist"),
         sum((F.coalesce(F.sum(_dec(f)), F.lit(0)) for f in INCOME6), F.lit(0)).alias("sum_income"), *fields,
     )
 
@@ -176,33 +176,39 @@ def year_pairs(records: DataFrame) -> DataFrame:
     return prior.join(current, ["partnership_ein", "partner_tin", "y"]).select("partnership_ein", "partner_tin", F.col("current.tax_year").alias("tax_year"), "prior", "current")
 
 
-def pair_rules(pairs: DataFrame) -> DataFrame:
-    """B1 capital continuity, B3 name changes, B4 changes between GP and LP."""
+def pair_rules(pairs: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
+    """B1 capital continuity, B3 name changes, B4 changes between GP and LP; with
+    ``more`` columns of the pairs."""
     end, begin = F.col("prior.capital_account_ending").cast("decimal(18,2)"), F.col("current.capital_account_beginning").cast("decimal(18,2)")
     gap = F.abs(end - begin)
     tin = F.col("partner_tin")
-    b1 = _rows(pairs, "B1", "critical", F.coalesce(gap < 0.01, F.lit(True)), tin=tin, observed=gap, threshold=0.01)
+    b1 = _rows(pairs, "B1", "critical", F.coalesce(gap < 0.01, F.lit(True)), tin=tin, observed=gap, threshold=0.01, more=more)
     old, new = strip(F.col("prior.partnership_name")), strip(F.col("current.partnership_name"))
     named = pairs.withColumns({"old": old, "new": new}).where("old <> '' AND new <> ''").withColumn("sim", similarity(F.col("old"), F.col("new")))
-    b3 = _rows(named, "B3", "warning", (F.col("old") == F.col("new")) | (F.col("sim") >= 0.85), observed=F.col("sim"), threshold=0.85)
+    b3 = _rows(named, "B3", "warning", (F.col("old") == F.col("new")) | (F.col("sim") >= 0.85), observed=F.col("sim"), threshold=0.85, more=more)
     kind = lambda side: F.lower(F.coalesce(F.col(f"{side}.partner_type"), F.lit("")))
     gp = lambda k: k.contains("general") | k.contains("member-manager")
     lp = lambda k: k.contains("limited") | k.contains("other llc")
     p, c = kind("prior"), kind("current")
     typed = pairs.where((strip(p) != "") & (strip(c) != ""))
-    b4 = _rows(typed, "B4", "warning", ~((gp(p) & lp(c)) | (lp(p) & gp(c))), tin=tin)
+    b4 = _rows(typed, "B4", "warning", ~((gp(p) & lp(c)) | (lp(p) & gp(c))), tin=tin, more=more)
     return b1.unionByName(b3).unionByName(b4)
 
 
-def all_rules(records: DataFrame, run_id_trigger: str = "") -> DataFrame:
-    """Every rule over ``records``, as one table.  The records are computed once
-    and kept, with the totals of their groups, in the shared folder."""
-    records = stored(records, "records")
-    groups = stored(totals(records), "group-totals")
+def group_rules(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rules that look at one partnership and year, from its records and totals."""
     g = grouped(records, groups)
     parts = [percent_rules(groups), proportional_allocation(g), capital_proportion(g), name_consistency(g), distribution_reasonableness(groups), self_employment(g)]
     if {"ingested_at", "run_id"} <= set(records.columns):
         parts.append(repeated_records(records))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def all_rules(records: DataFrame, run_id_trigger: str = "") -> DataFrame:
+    """Every rule over ``records``, as one table.  The records are computed once
+    and kept, with the totals of their groups, in the shared folder."""
+    records = stored(records, "records")
+    parts = [group_rules(records, stored(totals(records), "group-totals"))]
     if {"pdf_sha256", "ingested_at", "run_id"} <= set(records.columns):
         parts.append(repeated_files(records))
     parts.append(pair_rules(year_pairs(records)))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.minify import minify
 from ..functions.text import band, currency, folder_title, is_number, mask_ein, mask_tin, parse_amount, partner_class, preview, replace_all, run_folder, short_time, similarity, slug
 from ..operators import checks, cross_rules, spans
-from ..schemas import AMOUNT_FIELDS, INCOME6, INCOME7, KEY, RECORD, SUMMARY_FIELDS
-from ..session import ship_package, stored
+from ..operators.incremental import RuleBook, upsert_and_judge
+from ..schemas import AMOUNT_FIELDS, INCOME6, INCOME7, KEY, RECORD, SUMMARY_FIELDS, TABLE
+from ..session import shared_dir, ship_package, stored
 from ..sources import files
+from ..sources.record_store import RecordStore
 from . import dashboard, reports, results
 from .k1_view import K1_SQL, k1_records
 
@@ -87,6 +91,36 @@ def q_upsert(spark, sf_dir):
     return files.upsert(stored, new).select(*KEY, "run_id", "distributions", "interest_income")
 
 
+def _in_batches(spark, sf_dir):
+    """A record store and its rules after two batches: records of which some are
+    missing or wrong, then those that put them right."""
+    k1 = _kept(spark, sf_dir)
+    last = F.substring("partner_tin", -1, 1)
+    stamp = lambda df, v: df.withColumns({"run_id": F.concat_ws("/", *KEY, F.lit(str(v))), "ingested_at": F.lit(f"2025-01-0{v}T00:00:00")}).select(
+        *(F.col(f.name) if f.name in [*k1.columns, "run_id", "ingested_at"] else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLE.fields)
+    )
+    wrong = k1.where(last != "3").withColumns({
+        "partner_share_percentage": F.when(last == "7", 99.0).otherwise(F.col("partner_share_percentage")), "distributions": F.when(last == "7", None).otherwise(F.col("distributions")),
+    })
+    root = f"{shared_dir(spark)}/ledgerloom/rules-{uuid.uuid4().hex}"
+    records = RecordStore(spark, f"{root}/records")
+    book = RuleBook(spark, f"{root}/rules", records)
+    for batch in (stamp(wrong, 1), stamp(k1.where(last.isin("3", "7")), 2)):
+        upsert_and_judge(records, book, batch)
+    return records, book
+
+
+def q_record_store(spark, sf_dir):
+    records, _ = _in_batches(spark, sf_dir)
+    return records.read().where("tax_year IN ('1995', '1996')").select(*KEY, F.element_at(F.split("run_id", "/"), -1).alias("batch"), "distributions", "partner_share_percentage")
+
+
+def q_incremental_rules(spark, sf_dir):
+    _, book = _in_batches(spark, sf_dir)
+    found = cross_rules.published(book.results().where("category <> 'C'"))
+    return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed_n"))
+
+
 def q_partnerships(spark, sf_dir):
     return reports.partnerships(k1_records(spark, sf_dir))
 
@@ -296,7 +330,7 @@ QUERIES = {
     "validation_checks": q_checks, "report_status": q_report_status, "rules_a1_a2": q_percent_rules, "rule_a3": q_allocation,
     "rule_a4": q_capital_proportion, "rule_a5": q_names, "rule_d1": q_distributions, "rule_d4": q_self_employment,
     "rules_b1_b3_b4": q_pair_rules, "rules_c1_c2": q_repeated_records, "rule_c3": q_repeated_files, "rule_summary": q_rule_summary,
-    "record_upsert": q_upsert, "partnerships": q_partnerships, "overview_totals": q_overview, "summary_export": q_summary_rows,
+    "record_upsert": q_upsert, "record_store": q_record_store, "incremental_rules": q_incremental_rules, "partnerships": q_partnerships, "overview_totals": q_overview, "summary_export": q_summary_rows,
     "populated_fields": q_populated, "partner_classes": q_partner_class, "capital_bars": q_capital_bars, "scoped_results": q_scoped,
     "failed_critical": q_failed_critical, "entity_counts": q_entity_counts, "sanitized_text": q_sanitized, "entity_modes": q_entity_modes,
     "minified_text": q_minified, "ground_truth_recall": q_recall, "name_similarity": q_similarity,
@@ -479,6 +513,8 @@ ORACLES = {
     "rules_a1_a2": K1_SQL + _A1A2, "rule_a3": K1_SQL + _A3, "rule_a4": K1_SQL + _A4, "rule_a5": K1_SQL + _A5, "rule_d1": K1_SQL + _D1,
     "rule_d4": K1_SQL + _D4, "rules_b1_b3_b4": K1_SQL + _B, "rules_c1_c2": K1_SQL + _C,
     "rule_c3": K1_SQL + _HISTORY + " SELECT 'C3' AS rule_id, false AS passed, partnership_ein, tax_year, partner_tin, CAST(2 AS DOUBLE) AS observed, CAST(NULL AS DOUBLE) AS threshold FROM h WHERE v = 2",
+    "record_store": K1_SQL + " SELECT partnership_ein, partner_tin, tax_year, CASE WHEN right(partner_tin, 1) IN ('3', '7') THEN '2' ELSE '1' END AS batch, distributions, partner_share_percentage FROM k1 WHERE tax_year IN ('1995', '1996')",
+    "incremental_rules": f"SELECT CASE rule_id {_NAMES} END AS rule_id, {_SEVERITY} AS severity, count(*) AS n, count(*) FILTER (passed) AS passed_n FROM ({_ALL_RULES}) q GROUP BY q.rule_id",
     "record_upsert": K1_SQL + _HISTORY + f" SELECT partnership_ein, partner_tin, tax_year, {_RUN} AS run_id, distributions, interest_income FROM h QUALIFY row_number() OVER (PARTITION BY partnership_ein, partner_tin, tax_year ORDER BY v DESC) = 1",
     "partnerships": K1_SQL + " SELECT partnership_ein, tax_year, count(*) AS k1_count, max(partnership_name) AS name FROM k1 GROUP BY ALL",
     "overview_totals": K1_SQL + _ANALYSIS + " SELECT count(*) AS reports, CAST(sum(CAST(round(total_income * 100, 0) AS BIGINT)) AS BIGINT) AS income_cents, CAST(sum(CAST(round(net_taxable_income * 100, 0) AS BIGINT)) AS BIGINT) AS net_cents FROM an2",

@@ -1,6 +1,7 @@
-"""The record table as a Spark data source, ``ledger_records``.
+"""The record table as a Spark data source, ``ledger_records``, and other tables
+of its kind.
 
-Files lie in leaves: bucket ``crc32(ein) mod n`` and, inside it, part
+A table has three key columns, for records (ein, tin, year).  Files lie in leaves: bucket ``crc32(ein) mod n`` and, inside it, part
 ``crc32(tin) mod p``, where p is the bucket's own number of parts.  All records
 of a partnership share a bucket and all years of a partner a leaf; a partnership
 that holds much of the table gets a bucket of many parts.  Rows of a file are
@@ -36,8 +37,9 @@ import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
 from ..schemas import KEY, TABLE
@@ -191,19 +193,26 @@ class FilePart(InputPartition):
         self.paths = paths
 
 
+def shape(options: Mapping[str, str]) -> tuple[T.StructType, list[str]]:
+    """Schema and key columns of a table; those of the record table by default."""
+    schema = T.StructType.fromJson(json.loads(options["schema"])) if "schema" in options else TABLE
+    return schema, json.loads(options["keys"]) if "keys" in options else KEY
+
+
 class RecordReader(DataSourceReader):
     """Reads the files that a filter on the key, or the option ``leaves``, leaves."""
 
     def __init__(self, options: Mapping[str, str]):
         self.options, self.wanted = dict(options), {}
+        self.schema, self.keys = shape(options)
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
             name = ".".join(f.attribute) if isinstance(f, (EqualTo, EqualNullSafe, In)) else None
             values = set(f.value) if isinstance(f, In) else {getattr(f, "value", None)}
-            if name in KEY and None not in values:
+            if name in self.keys and None not in values:
                 self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
-            elif isinstance(f, IsNotNull) and f.attribute[0] in KEY:
+            elif isinstance(f, IsNotNull) and f.attribute[0] in self.keys:
                 pass  # no key is null
             else:
                 yield f
@@ -211,7 +220,7 @@ class RecordReader(DataSourceReader):
     def files(self) -> list[dict]:
         manifest = Folder(self.options).manifest(int(self.options["version"]) if "version" in self.options else None)
         leaves = {tuple(x) for x in json.loads(self.options["leaves"])} if "leaves" in self.options else None
-        eins, tins, years = (self.wanted.get(k) for k in KEY)
+        eins, tins, years = (self.wanted.get(k) for k in self.keys)
         n, found = len(manifest.parts), []
         buckets = None if eins is None else {zlib.crc32(e.encode()) % n for e in eins if n}
         for f in manifest.files:
@@ -241,7 +250,7 @@ class RecordReader(DataSourceReader):
             test = one if test is None else test & one
         for path in partition.paths:
             data = ds.dataset(f"{folder.root}/{path}", filesystem=folder.fs, format="parquet")
-            yield from (b for b in data.scanner(columns=TABLE.fieldNames(), filter=test, batch_size=8192).to_batches() if b.num_rows)
+            yield from (b for b in data.scanner(columns=self.schema.fieldNames(), filter=test, batch_size=8192).to_batches() if b.num_rows)
 
 
 @dataclass
@@ -255,6 +264,7 @@ class RecordWriter(DataSourceArrowWriter):
 
     def __init__(self, options: Mapping[str, str]):
         self.options, self.folder = dict(options), f"data/{uuid.uuid4().hex}"
+        self.schema, self.keys = shape(options)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         place = Folder(self.options)
@@ -267,7 +277,7 @@ class RecordWriter(DataSourceArrowWriter):
             done.append(now | {"bytes": place.fs.get_file_info(f"{place.root}/{now['path']}").size})
 
         for batch in iterator:
-            rows = pa.table({f.name: batch.column(f.name) for f in TABLE.fields})
+            rows = pa.table({name: batch.column(name) for name in self.schema.fieldNames()})
             bucket, part = (batch.column(c).to_numpy() for c in ("bucket", "part"))
             cuts = [0, *(i for i in range(1, len(bucket)) if bucket[i] != bucket[i - 1] or part[i] != part[i - 1]), len(bucket)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -275,7 +285,7 @@ class RecordWriter(DataSourceArrowWriter):
                     continue
                 leaf = int(bucket[lo]), int(part[lo])
                 own = rows.slice(lo, hi - lo)
-                years = own.column("tax_year")
+                years = own.column(self.keys[2])
                 first, last = years[0].as_py(), years[-1].as_py()
                 if writer is None or (now["bucket"], now["part"]) != leaf:
                     if writer is not None:
@@ -314,7 +324,7 @@ class RecordSource(DataSource):
         return FORMAT
 
     def schema(self):
-        return TABLE
+        return shape(self.options)[0]
 
     def reader(self, schema) -> RecordReader:
         return RecordReader(self.options)
@@ -347,16 +357,18 @@ class Change:
         release(self.replaced, self.added)
 
 
-class RecordStore:
-    """Records keyed by (ein, tin, year) behind ``ledger_records``."""
+class LeafStore:
+    """A table in leaves behind ``ledger_records``; its key columns hold no null."""
 
-    def __init__(self, spark: SparkSession, root: str, connector: Connector | None = None, leaf_bytes: int = LEAF_BYTES):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], connector: Connector | None = None, leaf_bytes: int = LEAF_BYTES):
         ship_package(spark)
         connector = connector or Connector()
-        self.spark, self.leaf_bytes = spark, leaf_bytes
+        self.spark, self.schema, self.keys, self.leaf_bytes = spark, schema, keys, leaf_bytes
         for name, value in connector.hadoop_conf().items():
             spark._jsc.hadoopConfiguration().set(name, value)
         self.options = connector.options() | {"path": connector.root(root)}
+        if (schema, keys) != (TABLE, KEY):
+            self.options |= {"schema": schema.json(), "keys": json.dumps(keys)}
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         spark.dataSource.register(RecordSource)
 
@@ -370,14 +382,32 @@ class RecordStore:
     def read(self, **options: str) -> DataFrame:
         return self.spark.read.format(FORMAT).options(**self.options, **options).load()
 
+    def leaves_of(self, rows: DataFrame, manifest: Manifest, whole_buckets: bool = False) -> list[tuple[int, int]]:
+        """The leaves with files that may hold keys of ``rows``; with
+        ``whole_buckets`` for their first key alone."""
+        if not manifest.files:
+            return []
+        if whole_buckets:
+            mine = rows.select(self._hash(self.keys[0], F.lit(len(manifest.parts)))).distinct().collect()  # at most the number of buckets
+            buckets = {r[0] for r in mine}
+            return sorted(x for x in manifest.leaves() if x[0] in buckets)
+        hit = {tuple(r) for r in self.placed(rows, manifest.parts).select("bucket", "part").distinct().collect()}  # at most the number of leaves
+        return sorted(hit & set(manifest.leaves()))
+
+    def read_leaves(self, leaves: list[tuple[int, int]], version: int) -> DataFrame:
+        return self.read(version=str(version), leaves=json.dumps(leaves))
+
+    @staticmethod
+    def _hash(column: str, n) -> Column:
+        return F.pmod(F.crc32(F.col(column).cast("binary")), n).cast("int")
+
     def placed(self, rows: DataFrame, parts: list[int]) -> DataFrame:
         """``rows`` with the bucket and part of their leaf."""
-        mod = lambda c, n: F.pmod(F.crc32(F.col(c).cast("binary")), n).cast("int")
-        out = rows.withColumn("bucket", mod("partnership_ein", F.lit(len(parts))))
+        out = rows.withColumn("bucket", self._hash(self.keys[0], F.lit(len(parts))))
         if max(parts) == 1:
             return out.withColumn("part", F.lit(0))
         sizes = self.spark.createDataFrame([(b, p) for b, p in enumerate(parts) if p > 1], "bucket int, parts int")  # at most a row a bucket
-        return out.join(F.broadcast(sizes), "bucket", "left").withColumn("part", mod("partner_tin", F.coalesce("parts", F.lit(1)))).drop("parts")
+        return out.join(F.broadcast(sizes), "bucket", "left").withColumn("part", self._hash(self.keys[1], F.coalesce("parts", F.lit(1)))).drop("parts")
 
     def _layout(self, base: Manifest, rows: int) -> tuple[list[int], bool]:
         """Parts of every bucket after a batch of so many rows, and whether the
@@ -392,6 +422,40 @@ class RecordStore:
             own[bucket] = own.get(bucket, 0) + size
         return [p if own.get(b, 0) <= 2 * p * self.leaf_bytes else _power(own[b] / self.leaf_bytes) for b, p in enumerate(base.parts)], False
 
+    def change(self, come: DataFrame, gone: DataFrame, match: list[str], base: Manifest | None = None, whole_buckets: bool = False) -> list[tuple[int, int]]:
+        """Publish the next version: without the rows whose ``match`` columns (the
+        first two keys among them) stand in ``gone``, with the rows of ``come``.
+        Only leaves of both are read and written; they are returned.  With
+        ``whole_buckets`` the first key of ``gone`` is enough."""
+        base = base or self.folder.manifest()
+        parts, moved = self._layout(base, come.count())
+        keys = come.select(*self.keys[:2])
+        keys = keys if whole_buckets else keys.union(gone.select(*self.keys[:2]))
+        hit = {tuple(r) for r in self.placed(keys, parts).select("bucket", "part").distinct().collect()}  # at most the number of leaves
+        if whole_buckets and not moved:
+            hit |= set(self.leaves_of(gone, base, whole_buckets=True))
+        split = {b for b, p in enumerate(parts) if not moved and p != base.parts[b]} & {b for b, _ in hit}
+        parts = parts if moved else [p if b in split else base.parts[b] for b, p in enumerate(parts)]
+        old = set(base.leaves())
+        touched = sorted(old if moved else {x for x in old if x in hit or x[0] in split})
+        names = self.schema.fieldNames()
+        kept = self.read_leaves(touched, base.version).join(gone.select(*match).distinct(), match, "left_anti").select(*names)
+        out = self.placed(kept.unionByName(come.select(*names)), parts).repartition("bucket", "part").sortWithinPartitions("bucket", "part", self.keys[2], *self.keys[:2])
+        out.write.format(FORMAT).mode("append").options(
+            **self.options, base=str(base.version), layout=json.dumps(parts), replaced='["all"]' if moved else json.dumps(touched),
+        ).save()
+        return touched
+
+    def remove_orphans(self, older_than: float = 86_400) -> list[str]:
+        return self.folder.remove_orphans(older_than)
+
+
+class RecordStore(LeafStore):
+    """Records keyed by (ein, tin, year)."""
+
+    def __init__(self, spark: SparkSession, root: str, connector: Connector | None = None, leaf_bytes: int = LEAF_BYTES):
+        super().__init__(spark, root, TABLE, KEY, connector, leaf_bytes)
+
     def upsert(self, new: DataFrame) -> Change:
         """Records of ``new`` replace stored ones of their key; the last of a batch
         (by ingested_at, run_id, then its text) wins; rows without a whole key
@@ -400,21 +464,7 @@ class RecordStore:
 
         base = self.folder.manifest()
         added = stored(last_of_key(new).select(*(F.col(f.name).cast(f.dataType) for f in TABLE.fields)), "added-records")
-        rows = added.count()
-        parts, moved = self._layout(base, rows)
-        hit = {tuple(r) for r in self.placed(added, parts).select("bucket", "part").distinct().collect()}  # at most the number of leaves
-        split = {b for b, p in enumerate(parts) if not moved and p != base.parts[b]} & {b for b, _ in hit}
-        parts = parts if moved else [p if b in split else base.parts[b] for b, p in enumerate(parts)]
-        old = {(f["bucket"], f["part"]) for f in base.files}
-        touched = old if moved else {x for x in old if x in hit or x[0] in split}
-        before = self.read(version=str(base.version), leaves=json.dumps(sorted(touched)))
-        kept = before.join(added.select(*KEY), KEY, "left_anti").select(*TABLE.fieldNames())
+        before = self.read_leaves(self.leaves_of(added, base), base.version)
         replaced = stored(before.join(added.select(*KEY), KEY, "left_semi").select(*TABLE.fieldNames()), "replaced-records")
-        out = self.placed(kept.unionByName(added), parts).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "tax_year", *KEY[:2])
-        out.write.format(FORMAT).mode("append").options(
-            **self.options, base=str(base.version), layout=json.dumps(parts), replaced='["all"]' if moved else json.dumps(sorted(touched)),
-        ).save()
+        self.change(added, added, KEY, base)
         return Change(replaced, added, base.version, base.version + 1)
-
-    def remove_orphans(self, older_than: float = 86_400) -> list[str]:
-        return self.folder.remove_orphans(older_than)
