@@ -190,9 +190,47 @@ def test_lengths_ties_and_repeated_ids(spark, monkeypatch):
     assert got[300] == got[301] == [(2, 300)] and sorted(got[302]) == [(0, 302), (2, 300)] and got[None] == [(0, None)] * 2
 
 
-def test_low_recall_fails(spark, monkeypatch):
+def brute_force(rows, threshold=0.9):
+    """(links, least reachable id) of every row, rows of one id kept apart."""
+    x = np.array([v for _, v in rows], np.float64)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    meets = x @ x.T >= threshold
+    np.fill_diagonal(meets, False)
+    least = [i for i, _ in rows]
+    while True:
+        new = [min([least[a], *(least[b] for b in np.flatnonzero(meets[a]))]) for a in range(len(rows))]
+        if new == least:
+            return sorted((i, int(meets[a].sum()), least[a]) for a, (i, _) in enumerate(rows))
+        least = new
+
+
+def run_rows(spark, rows):
+    got = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    return sorted((r.vec_id, r.n_links, r.component_id) for r in got), got
+
+
+def test_rows_that_share_an_id_keep_their_own_links(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.01])]
+    assert run_rows(spark, rows)[0] == brute_force(rows) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    rng = np.random.default_rng(9)
+    middle = rng.standard_normal((6, 8))
+    rows = [(int(i), (middle[n % 6] + 0.15 * rng.standard_normal(8)).tolist()) for n, i in enumerate(rng.integers(0, 25, 90))]
+    rows += rows[:5]
+    assert run_rows(spark, rows)[0] == brute_force(rows)
+
+
+def test_a_search_that_finds_nothing_ends_in_exact_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "AUDITS", 1)
-    monkeypatch.setattr(neighbours, "_closed", lambda nodes, kin, *a, **b: (nodes, kin))  # a search that finds nothing
-    rows = [(i, [1.0, 0.001 * i]) for i in range(20)]
-    with pytest.raises(RuntimeError, match="audits"):
-        neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
+    monkeypatch.setattr(neighbours, "_closed", lambda nodes, kin, *a, **b: (nodes, kin))
+    rows = [(i, [1.0, 0.03 * i]) for i in range(20)]
+    found, got = run_rows(spark, rows)
+    assert found == brute_force(rows) and got[0].audited_recall < 0.5  # of the search, before the exact blocks
+
+
+def test_audits_take_all_ids_divisible_by_twenty(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(neighbours, "_audit", lambda nodes, *a, f=neighbours._audit, **b: (asked.append(nodes.where("asked").count()), f(nodes, *a, **b))[1])
+    rows = [(i, [float(np.cos(i)), float(np.sin(i)), 0.1 * i]) for i in range(100)]
+    assert run_rows(spark, rows)[0] == brute_force(rows) and set(asked) == {5}
