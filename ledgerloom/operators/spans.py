@@ -1,19 +1,25 @@
 """Entity spans in text: detection, filtering, overlap, numbering, redaction.
 
-All steps are array expressions of one row, so a document of any number of
-spans needs no shuffle.  A provider is a function from a text Column to an
+All steps work on arrays of one row, so a document of any number of spans needs
+no shuffle.  Detection and filtering are expressions; numbering, choice and
+redaction, which go through a text's spans in order, run over Arrow batches: one
+sweep each, in n log n for n spans.  A provider is a function from a text Column to an
 array of spans; the built-in one is a set of patterns.  Where a model would
 look for names and places, another provider takes its place.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import ship_package
 
 # Entity types, patterns and scores of the built-in recognisers
 # (Java and RE2 syntax alike) and the terms that are never personal data.
@@ -35,9 +41,17 @@ ALLOWED_TERMS = [
     "schedule k-1", "k-1", "form 1065", "form 1120-s", "keogh", "ira", "llc", "llp", "lp", "individual", "corporation", "trust", "estate",
     "tax matters partner", "partnership representative", "er member", "address", "k1",
 ]
+# ``\b`` means other letters in other engines; these borders are ASCII everywhere.
+_BEFORE, _AFTER = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 SPAN_TYPE = "struct<entity_type:string,start:int,end:int,score:double,text_snippet:string>"
 
 
+def bordered(pattern: str) -> str:
+    """A recogniser's pattern for Spark, its word borders spelled out."""
+    pattern = _BEFORE + pattern[2:] if pattern.startswith(r"\b") else pattern
+    return pattern[:-2] + _AFTER if pattern.endswith(r"\b") else pattern
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often it stands there."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -69,7 +83,7 @@ def pattern_spans(text: Column, entity: str, pattern: str, score: float, needed:
 
 def detect(text: Column, types: list[str] | None = None) -> Column:
     """Spans of the built-in recognisers, by type in the order of the table."""
-    found = [pattern_spans(text, t, *RECOGNISERS[t], NEEDED.get(t)) for t in (types or RECOGNISERS)]
+    found = [pattern_spans(text, t, bordered(RECOGNISERS[t][0]), RECOGNISERS[t][1], NEEDED.get(t)) for t in (types or RECOGNISERS)]
     return reduce(F.concat, found)
 
 
@@ -83,48 +97,107 @@ def drop_false_positives(spans: Column) -> Column:
     return F.filter(spans, real)
 
 
+NUMBERED_TYPE = "array<struct<pos:int,entity_type:string,start:int,end:int,score:double,text_snippet:string,placeholder:string>>"
+
+
+def _over_batches(kind: str):
+    """A function of Arrow arrays as one of columns; Spark parses ``kind`` only in
+    a session."""
+    return lambda run: lambda *columns: F.arrow_udf(run, kind)(*columns)
+
+
+def _lists(column: pa.Array) -> tuple[pa.StructArray, np.ndarray, pa.Array | None]:
+    """The structs of a column of lists, where each list ends, and which are null."""
+    flat = column.flatten()
+    sizes = column.value_lengths().fill_null(0).to_numpy()
+    return flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), column.is_null() if column.null_count else None
+
+
+def _relisted(flat: pa.Array, bounds: np.ndarray, null: pa.Array | None) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds), flat, mask=null)
+
+
 def number_spans(spans: Column) -> Column:
     """Placeholders: the n-th different text of a type, by first detection; the
     numbers count spans that overlap handling drops later as well."""
+    return _number(spans)
 
-    def numbered(every):
-        def one(s, i):
-            before = F.slice(every, F.lit(1), i + 1)
-            same = F.filter(before, lambda x: x["entity_type"] == s["entity_type"])
-            n = F.array_position(F.array_distinct(F.transform(same, lambda x: x["text_snippet"])), s["text_snippet"])
-            name = F.concat(F.lit("<"), s["entity_type"], F.lit("_"), n.cast("string"), F.lit(">"))
-            return F.struct(i.alias("pos"), *(s[c].alias(c) for c in ("entity_type", "start", "end", "score", "text_snippet")), name.alias("placeholder"))
-
-        return F.transform(every, one)
 
-    return let(spans, numbered)
+@_over_batches(NUMBERED_TYPE)
+def _number(spans: pa.Array) -> pa.Array:
+    flat, bounds, null = _lists(spans)
+    kinds, texts = flat.field("entity_type").to_pylist(), flat.field("text_snippet").to_pylist()
+    pos, names = np.zeros(len(flat), np.int32), []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        pos[lo:hi] = np.arange(hi - lo)
+        seen: dict[str, dict[str, int]] = {}
+        for kind, text in zip(kinds[lo:hi], texts[lo:hi]):
+            own = seen.setdefault(kind, {})
+            names.append(f"<{kind}_{own.setdefault(text, len(own) + 1)}>")
+    fields = ["entity_type", "start", "end", "score", "text_snippet"]
+    columns = [pa.array(pos), *(flat.field(f) for f in fields), pa.array(names, pa.string())]
+    return _relisted(pa.StructArray.from_arrays(columns, ["pos", *fields, "placeholder"]), bounds, null)
 
 
 def without_overlap(numbered: Column) -> Column:
     """Greedy choice by score, then start, then detection order."""
-    ranked = F.array_sort(F.transform(numbered, lambda s: F.struct((-s["score"]).alias("k1"), s["start"].alias("k2"), s["pos"].alias("k3"), s.alias("s"))))
-    empty = F.filter(numbered, lambda s: F.lit(False))
-    return F.aggregate(
-        F.transform(ranked, lambda r: r["s"]),
-        empty,
-        lambda acc, s: F.when(F.exists(acc, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(s))),
-    )
+    return _choose(numbered)
+
+
+def chosen_places(starts: list[int], ends: list[int], scores: list[float], places: list[int]) -> list[int]:
+    """Indexes of the spans that a greedy choice takes, best first.  What is taken
+    never overlaps, so only the two neighbours of a span can stand in its way."""
+    taken_starts: list[int] = []
+    taken_ends: list[int] = []
+    out = []
+    for i in sorted(range(len(starts)), key=lambda i: (-scores[i], starts[i], places[i])):
+        at = bisect_right(taken_starts, starts[i])
+        if at and taken_ends[at - 1] > starts[i] or at < len(taken_starts) and taken_starts[at] < ends[i]:
+            continue
+        taken_starts.insert(at, starts[i])
+        taken_ends.insert(at, ends[i])
+        out.append(i)
+    return out
+
+
+@_over_batches(NUMBERED_TYPE)
+def _choose(numbered: pa.Array) -> pa.Array:
+    flat, bounds, null = _lists(numbered)
+    starts, ends, scores, places = (flat.field(f).to_pylist() for f in ("start", "end", "score", "pos"))
+    taken, sizes = [], [0]
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        own = chosen_places(starts[lo:hi], ends[lo:hi], scores[lo:hi], places[lo:hi]) if hi > lo else []
+        taken += [lo + i for i in own]
+        sizes.append(len(taken))
+    return _relisted(flat.take(pa.array(taken, pa.int64())), np.array(sizes, np.int32), null)
 
 
 def redact(text: Column, chosen: Column) -> Column:
     """Text with each chosen span replaced by its placeholder."""
-    ordered = F.array_sort(F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["placeholder"].alias("placeholder"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        ordered, start,
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["placeholder"]).alias("out")),
-    )
-    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    return F.when(F.size(chosen) == 0, text).otherwise(_redact(F.when(F.size(chosen) > 0, text), chosen))
+
+
+@_over_batches("string")
+def _redact(texts: pa.Array, chosen: pa.Array) -> pa.Array:
+    flat, bounds, _ = _lists(chosen)
+    starts, ends, names = (flat.field(f).to_pylist() for f in ("start", "end", "placeholder"))
+    out = []
+    for text, lo, hi in zip(texts.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+        if text is None:
+            out.append(None)
+            continue
+        parts, at = [], 0
+        for i in sorted(range(lo, hi), key=starts.__getitem__):
+            parts += [text[at : starts[i]], names[i]]
+            at = ends[i]
+        out.append("".join([*parts, text[at:]]))
+    return pa.array(out, pa.string())
 
 
 def sanitize(docs: DataFrame, text: str = "text", provider=detect) -> DataFrame:
     """``docs`` with spans, sanitized_text, mapping (in order of detection) and
     the number of replacements."""
+    ship_package(docs.sparkSession)
     step = docs.withColumn("spans", drop_false_positives(provider(F.col(text))))
     step = step.withColumn("numbered", number_spans(F.col("spans")))
     step = step.withColumn("chosen", without_overlap(F.col("numbered")))

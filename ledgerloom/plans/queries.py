@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.minify import minify
 from ..functions.text import band, currency, folder_title, is_number, mask_ein, mask_tin, parse_amount, partner_class, preview, replace_all, run_folder, short_time, similarity, slug
-from ..operators import checks, cross_rules, spans
+from ..operators import checks, cross_rules, spans, terms
 from ..operators.incremental import RuleBook, upsert_and_judge
 from ..schemas import AMOUNT_FIELDS, INCOME6, INCOME7, KEY, RECORD, SUMMARY_FIELDS, TABLE
 from ..session import shared_dir, ship_package, stored
@@ -121,6 +121,13 @@ def q_incremental_rules(spark, sf_dir):
     return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed_n"))
 
 
+def q_term_matches(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.substring("text", 1, 40).alias("term"))
+    found = terms.term_spans(docs, passages)
+    return found.groupBy("doc_id").agg(F.countDistinct("term").alias("terms"), F.min("start").alias("first_at"))
+
+
 def q_partnerships(spark, sf_dir):
     return reports.partnerships(k1_records(spark, sf_dir))
 
@@ -330,7 +337,7 @@ QUERIES = {
     "validation_checks": q_checks, "report_status": q_report_status, "rules_a1_a2": q_percent_rules, "rule_a3": q_allocation,
     "rule_a4": q_capital_proportion, "rule_a5": q_names, "rule_d1": q_distributions, "rule_d4": q_self_employment,
     "rules_b1_b3_b4": q_pair_rules, "rules_c1_c2": q_repeated_records, "rule_c3": q_repeated_files, "rule_summary": q_rule_summary,
-    "record_upsert": q_upsert, "record_store": q_record_store, "incremental_rules": q_incremental_rules, "partnerships": q_partnerships, "overview_totals": q_overview, "summary_export": q_summary_rows,
+    "record_upsert": q_upsert, "record_store": q_record_store, "incremental_rules": q_incremental_rules, "term_matches": q_term_matches, "partnerships": q_partnerships, "overview_totals": q_overview, "summary_export": q_summary_rows,
     "populated_fields": q_populated, "partner_classes": q_partner_class, "capital_bars": q_capital_bars, "scoped_results": q_scoped,
     "failed_critical": q_failed_critical, "entity_counts": q_entity_counts, "sanitized_text": q_sanitized, "entity_modes": q_entity_modes,
     "minified_text": q_minified, "ground_truth_recall": q_recall, "name_similarity": q_similarity,
@@ -513,6 +520,8 @@ ORACLES = {
     "rules_a1_a2": K1_SQL + _A1A2, "rule_a3": K1_SQL + _A3, "rule_a4": K1_SQL + _A4, "rule_a5": K1_SQL + _A5, "rule_d1": K1_SQL + _D1,
     "rule_d4": K1_SQL + _D4, "rules_b1_b3_b4": K1_SQL + _B, "rules_c1_c2": K1_SQL + _C,
     "rule_c3": K1_SQL + _HISTORY + " SELECT 'C3' AS rule_id, false AS passed, partnership_ein, tax_year, partner_tin, CAST(2 AS DOUBLE) AS observed, CAST(NULL AS DOUBLE) AS threshold FROM h WHERE v = 2",
+    "term_matches": """SELECT doc_id, count(*) AS terms, CAST(min(strpos(text, term) - 1) AS INT) AS first_at FROM documents, (SELECT DISTINCT substr(text, 1, 40) AS term FROM benchmark) t
+      WHERE term <> '' AND contains(text, term) GROUP BY doc_id""",
     "record_store": K1_SQL + " SELECT partnership_ein, partner_tin, tax_year, CASE WHEN right(partner_tin, 1) IN ('3', '7') THEN '2' ELSE '1' END AS batch, distributions, partner_share_percentage FROM k1 WHERE tax_year IN ('1995', '1996')",
     "incremental_rules": f"SELECT CASE rule_id {_NAMES} END AS rule_id, {_SEVERITY} AS severity, count(*) AS n, count(*) FILTER (passed) AS passed_n FROM ({_ALL_RULES}) q GROUP BY q.rule_id",
     "record_upsert": K1_SQL + _HISTORY + f" SELECT partnership_ein, partner_tin, tax_year, {_RUN} AS run_id, distributions, interest_income FROM h QUALIFY row_number() OVER (PARTITION BY partnership_ein, partner_tin, tax_year ORDER BY v DESC) = 1",

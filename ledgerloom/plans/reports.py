@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.terms import Terms
 from ..schemas import INCOME7, RECORD
+from ..session import ship_package
 
 DEDUCTIONS = ["section_179_deduction", "foreign_taxes_paid", "qbi_deduction"]
 #: Most ground-truth strings of one broadcast.
@@ -105,13 +107,21 @@ def comparison(spans: DataFrame) -> DataFrame:
 
 def recall(texts: DataFrame, truth: DataFrame) -> DataFrame:
     """Share of ground-truth strings found in each text; ``truth`` is the short
-    list of labels, whatever the number of texts.  It is broadcast whole; more
-    than MOST_LABELS rows are an error."""
+    list of labels, whatever the number of texts.  All labels are looked for in
+    one pass over a text; more than MOST_LABELS rows are an error.  A null text
+    finds nothing and has no accuracy, a null label is never found."""
     if truth.limit(MOST_LABELS + 1).count() > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} ground-truth strings")
-    hits = texts.crossJoin(F.broadcast(truth)).withColumn("hit", F.col("text").contains(F.col("expected")))
+    ship_package(texts.sparkSession)
+    known = truth.where("expected IS NOT NULL").groupBy("expected").agg(F.count("*").alias("n"))
+    weights = {r["expected"]: r["n"] for r in known.collect()}  # at most MOST_LABELS
+    total, usable = truth.count(), sum(weights.values())
+    terms = Terms(list(weights))
+    rows = texts.withColumn("hits", F.coalesce(terms.weight(F.col("text"), list(weights.values())), F.lit(0)))
     keys = [c for c in texts.columns if c != "text"]
-    return hits.groupBy(*keys).agg(F.count_if("hit").alias("hits"), F.count("*").alias("total"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
+    read = F.sum(F.when(F.col("text").isNotNull(), F.lit(usable)).otherwise(0))
+    sums = rows.groupBy(*keys).agg(F.sum("hits").alias("hits"), (F.count("*") * F.lit(total)).alias("total"), read.alias("read"))
+    return sums.select(*keys, "hits", "total", F.try_divide(F.col("hits"), F.col("read")).alias("accuracy"))
 
 
 def stitch_pages(pages: DataFrame) -> DataFrame:
