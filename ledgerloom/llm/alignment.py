@@ -44,7 +44,8 @@ from .tokens import BpeEncoder, slices
 MOST_HOT = 1 << 20
 #: Different chunks a worker remembers; when full, it starts afresh.
 MOST_CHUNKS = 600_000
-_GROUP = re.compile(rb"[nab]*x")
+#: A group in a label string without the places where no token ends.
+_GROUP = re.compile("[ab]*x")
 _LABELS = np.frombuffer(b"nabx", np.uint8)
 
 
@@ -70,7 +71,7 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(BLANK, " ").encode() for p in pieces]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
         self.a_names, self.b_names = [str(i) for i in range(len(names))], [str(i) for i in range(len(pieces))]
-        self.by_chunk = self.b.by_unit
+        self.by_chunk, self.lead = self.b.by_unit, self.b.library.piece_to_id(BLANK)
         self.forget()
 
     @classmethod
@@ -79,8 +80,10 @@ class Aligner:
             cls._of[a_path, b_path] = cls(a_path, b_path)
         return cls._of[a_path, b_path]
 
-    def forget(self) -> None:
-        """Start afresh with no chunk remembered."""
+    def forget(self, grouped: bool = True) -> None:
+        """Start afresh with no chunk remembered; without ``grouped``, texts of
+        groups are left out from now on."""
+        self.grouped = grouped
         self.index: dict[str, int] = {}
         self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links of each chunk; -1: not to be cut out
         self.groups: list[bytes] = []
@@ -95,40 +98,42 @@ class Aligner:
         found[np.cumsum(self.b_sizes[b]) - 1] += 2
         return found
 
-    def scan(self, a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The text of every group and its last byte's place, and the id pairs of
-        all links (A's id times 2^32, plus B's)."""
-        text = _LABELS[labels].tobytes()
-        a_names, b_names = [self.a_names[i] for i in a.tolist()], [self.b_names[i] for i in b.tolist()]
-        groups, ends, i, j = [], [], 0, 0
-        for found in _GROUP.finditer(text):
-            lo, hi = found.span()
-            m, n = i + 1 + text.count(b"a", lo, hi), j + 1 + text.count(b"b", lo, hi)
-            groups.append(f"{','.join(a_names[i:m])}|{','.join(b_names[j:n])};".encode())
-            ends.append(hi)
-            i, j = m, n
+    def scan(self, a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The text of every group and the byte behind it, and the id pairs of all
+        links (A's id times 2^32, plus B's)."""
         marked = labels[labels > 0]
         at_a, at_b = np.cumsum(marked & 1) - (marked & 1), np.cumsum(marked >> 1) - (marked >> 1)
-        return groups, np.array(ends, np.int64), (a.astype(np.int64)[at_a] << 32) + b.astype(np.int64)[at_b]
-
-    def whole(self, text: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        pairs = (a.astype(np.int64)[at_a] << 32) + b.astype(np.int64)[at_b]
+        groups, i, j = [], 0, 0
+        if self.grouped:
+            a_names, b_names = list(map(self.a_names.__getitem__, a.tolist())), list(map(self.b_names.__getitem__, b.tolist()))
+            for span in _GROUP.findall(_LABELS[marked].tobytes().decode()):
+                if span == "x":
+                    groups.append(f"{a_names[i]}|{b_names[j]};")
+                    i, j = i + 1, j + 1
+                    continue
+                m, n = i + 1 + span.count("a"), j + 1 + span.count("b")
+                groups.append(f"{','.join(a_names[i:m])}|{','.join(b_names[j:n])};")
+                i, j = m, n
+        return groups, np.flatnonzero(labels == 3) + 1, pairs
+
+    def whole(self, text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
         """Counts, group texts and id pairs of one text."""
         raw = f" {text}".encode()
         a, b = np.frombuffer(self.a.whole([f" {text}"])[0], "<u4"), np.array(self.b.library.encode(text), "<u4")
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
             return np.zeros(4, np.int64), [], np.zeros(0, np.int64)
-        groups, _, pairs = self.scan(a, b, self.labels(a, b, len(raw)))
-        return np.array([len(a), len(b), len(groups), len(pairs)], np.int64), groups, pairs
+        groups, ends, pairs = self.scan(a, b, self.labels(a, b, len(raw)))
+        return np.array([len(a), len(b), len(ends), len(pairs)], np.int64), groups, pairs
 
     def learn(self, chunks: list[str]) -> None:
         """Label new chunks, all of them as one string."""
         self.a._learn({c for c in chunks if c not in self.a.chunks})
         good = [c for c in chunks if self.a.chunks[c] != 0]
         b_ids = [list(x) for x in self.b.library.encode(good, num_threads=1)]
-        lead = self.b.library.piece_to_id(BLANK)
         for n, chunk in enumerate(good):
             if chunk == "":
-                b_ids[n] = [lead]
+                b_ids[n] = [self.lead]
             elif chunk[0] == "\n":  # the library's dummy prefix cannot merge with a line end
                 b_ids[n] = b_ids[n][1:]
         raw = [(c if c[:1] == "\n" else f" {c}").encode() for c in good]
@@ -150,7 +155,7 @@ class Aligner:
             for n, chunk in enumerate(good):
                 k = at[chunk]
                 lo, hi = group_at[n], group_at[n + 1]
-                own_groups[k] = b"".join(groups[lo:hi])
+                own_groups[k] = "".join(groups[lo:hi]).encode()
                 own_pairs[k] = packed[8 * link_at[n] : 8 * link_at[n + 1]]
                 new[k] = len(a_ids[n]), len(b_ids[n]), hi - lo, link_at[n + 1] - link_at[n]
         first = len(self.groups)
@@ -216,7 +221,7 @@ def count_pairs(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches):
         aligner = Aligner.of(a_path, b_path)
-        aligner.forget()
+        aligner.forget(grouped=False)
         seen = np.zeros(0, np.int64)  # places of each chunk
         single: list[np.ndarray] = []  # pairs of texts that are labelled whole
 
@@ -238,7 +243,7 @@ def count_pairs(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     yield from told()
                     waiting = 0
                     if len(aligner.index) > MOST_CHUNKS:
-                        aligner.forget()
+                        aligner.forget(grouped=False)
                     seen = np.zeros(len(aligner.groups), np.int64)
                 found = aligner.batch(column.slice(lo, hi - lo))
                 if len(aligner.groups) > len(seen):
@@ -337,7 +342,7 @@ def _rows(batch: pa.RecordBatch, found: Batch, known: np.ndarray, rare: dict[int
         for k in range(4):
             numbers[k][i] = counts[k]
         best[i], sums[i] = is_best.sum(), n.sum()
-        digests[i] = hashlib.sha256(b"".join(groups)[:-1]).hexdigest() if groups else ""
+        digests[i] = hashlib.sha256("".join(groups)[:-1].encode()).hexdigest() if groups else ""
         lists[i] = pairs[~there] if not there.all() else None
     columns = [batch.column("row"), batch.column("doc_id"), *map(pa.array, (*numbers, best, sums)), pa.array(digests, pa.string()), pa.array(lists, pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rare"])
