@@ -9,12 +9,13 @@ of bytes that lies in one token of each side: a link.
 
 Both tokenizers end a token before every blank or line end that follows another
 character, so labels of such chunks do not depend on what stands around them:
-a worker labels each different chunk once (many at a time, as one string) and a
-text is put together from its chunks.  Texts where that does not hold (runs of
-blanks, characters that the encoders call odd) are labelled whole.
+different chunks are labelled once (many at a time, as one string) and a text is
+put together from its chunks.  Texts where that does not hold (runs of blanks,
+characters beyond ``WHOLE``) are labelled whole.
 
-Counts of id pairs are summed inside tasks, then by a shuffle on the pair.  For
-the sums a text's links look up their pair's count: the ``MOST_HOT`` most
+For the counts of id pairs, chunks are counted first, inside tasks and then by a
+shuffle, so each different chunk of the corpus is labelled once; its links, times
+its count, are summed the same way.  For the sums a text's links look up their pair's count: the ``MOST_HOT`` most
 frequent pairs reach every task as a broadcast of bounded size, links of rarer
 pairs are shuffled to their counts, so neither side has to fit anywhere.
 
@@ -46,6 +47,9 @@ MOST_HOT = 1 << 20
 MOST_CHUNKS = 600_000
 #: A group in a label string without the places where no token ends.
 _GROUP = re.compile("[ab]*x")
+#: Texts that are labelled whole: runs of blanks, a blank at the beginning, and
+#: characters whose class is not the same for both tokenizers at all times.
+WHOLE = "[ \n]{2}|^[ \n]|[^\n\x20-\x7e\u00a1-\u024f]"
 _LABELS = np.frombuffer(b"nabx", np.uint8)
 
 
@@ -71,7 +75,9 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(BLANK, " ").encode() for p in pieces]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
         self.a_names, self.b_names = [str(i) for i in range(len(names))], [str(i) for i in range(len(pieces))]
-        self.by_chunk, self.lead = self.b.by_unit, self.b.library.piece_to_id(BLANK)
+        self.lead = self.b.library.piece_to_id(BLANK)
+        # every character of a chunk has pieces that give its bytes back
+        self.by_chunk = self.b.by_unit and {f"<0x{i:02X}>" for i in range(256)} <= set(pieces)
         self.forget()
 
     @classmethod
@@ -80,12 +86,10 @@ class Aligner:
             cls._of[a_path, b_path] = cls(a_path, b_path)
         return cls._of[a_path, b_path]
 
-    def forget(self, grouped: bool = True) -> None:
-        """Start afresh with no chunk remembered; without ``grouped``, texts of
-        groups are left out from now on."""
-        self.grouped = grouped
+    def forget(self) -> None:
+        """Start afresh with no chunk remembered."""
         self.index: dict[str, int] = {}
-        self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links of each chunk; -1: not to be cut out
+        self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links of each chunk
         self.groups: list[bytes] = []
         self.pairs: list[bytes] = []
         self.a.chunks.clear()
@@ -98,14 +102,14 @@ class Aligner:
         found[np.cumsum(self.b_sizes[b]) - 1] += 2
         return found
 
-    def scan(self, a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The text of every group and the byte behind it, and the id pairs of all
-        links (A's id times 2^32, plus B's)."""
+    def scan(self, a: np.ndarray, b: np.ndarray, labels: np.ndarray, grouped: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The text of every group (if ``grouped``) and the byte behind it, and the
+        id pairs of all links (A's id times 2^32, plus B's)."""
         marked = labels[labels > 0]
         at_a, at_b = np.cumsum(marked & 1) - (marked & 1), np.cumsum(marked >> 1) - (marked >> 1)
         pairs = (a.astype(np.int64)[at_a] << 32) + b.astype(np.int64)[at_b]
         groups, i, j = [], 0, 0
-        if self.grouped:
+        if grouped:
             a_names, b_names = list(map(self.a_names.__getitem__, a.tolist())), list(map(self.b_names.__getitem__, b.tolist()))
             for span in _GROUP.findall(_LABELS[marked].tobytes().decode()):
                 if span == "x":
@@ -117,56 +121,55 @@ class Aligner:
                 i, j = m, n
         return groups, np.flatnonzero(labels == 3) + 1, pairs
 
-    def whole(self, text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
+    def whole(self, text: str, grouped: bool = True) -> tuple[np.ndarray, list[str], np.ndarray]:
         """Counts, group texts and id pairs of one text."""
         raw = f" {text}".encode()
         a, b = np.frombuffer(self.a.whole([f" {text}"])[0], "<u4"), np.array(self.b.library.encode(text), "<u4")
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
             return np.zeros(4, np.int64), [], np.zeros(0, np.int64)
-        groups, ends, pairs = self.scan(a, b, self.labels(a, b, len(raw)))
+        groups, ends, pairs = self.scan(a, b, self.labels(a, b, len(raw)), grouped)
         return np.array([len(a), len(b), len(ends), len(pairs)], np.int64), groups, pairs
 
-    def learn(self, chunks: list[str]) -> None:
-        """Label new chunks, all of them as one string."""
-        self.a._learn({c for c in chunks if c not in self.a.chunks})
-        good = [c for c in chunks if self.a.chunks[c] != 0]
-        b_ids = [list(x) for x in self.b.library.encode(good, num_threads=1)]
-        for n, chunk in enumerate(good):
+    def aligned(self, chunks: list[str], grouped: bool = True) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Chunks as one string: the texts of all groups, the pairs of all links,
+        where each chunk's groups and links begin, and its tokens of A and B."""
+        self.a._learn(set(chunks))
+        b_ids = [list(x) for x in self.b.library.encode(chunks, num_threads=1)]
+        for n, chunk in enumerate(chunks):
             if chunk == "":
                 b_ids[n] = [self.lead]
             elif chunk[0] == "\n":  # the library's dummy prefix cannot merge with a line end
                 b_ids[n] = b_ids[n][1:]
-        raw = [(c if c[:1] == "\n" else f" {c}").encode() for c in good]
-        a_ids = [np.frombuffer(self.a.chunks[c], "<u4") for c in good]
-        sizes = np.array([len(x) for x in raw], np.int64)
-        a = np.concatenate(a_ids) if good else np.zeros(0, "<u4")
-        b = np.array([i for x in b_ids for i in x], "<u4")
-        all_raw = b"".join(raw)
-        new = np.full((len(chunks), 4), -1, np.int64)
-        at = {c: n for n, c in enumerate(chunks)}
-        own_groups, own_pairs = [b""] * len(chunks), [b""] * len(chunks)
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == all_raw and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == all_raw and len(good):
-            labels = self.labels(a, b, len(all_raw))
-            groups, ends, pairs = self.scan(a, b, labels)
-            borders = np.concatenate([[0], np.cumsum(sizes)])
-            group_at = np.searchsorted(ends, borders, "right")
-            link_at = np.concatenate([[0], np.cumsum(labels > 0)])[borders]
-            packed = pairs.tobytes()
-            for n, chunk in enumerate(good):
-                k = at[chunk]
-                lo, hi = group_at[n], group_at[n + 1]
-                own_groups[k] = "".join(groups[lo:hi]).encode()
-                own_pairs[k] = packed[8 * link_at[n] : 8 * link_at[n + 1]]
-                new[k] = len(a_ids[n]), len(b_ids[n]), hi - lo, link_at[n + 1] - link_at[n]
-        first = len(self.groups)
-        self.index.update((c, first + n) for n, c in enumerate(chunks))
-        self.counts = np.concatenate([self.counts, new])
-        self.groups += own_groups
-        self.pairs += own_pairs
-        self.a.chunks.clear()  # their ids are in what is remembered here
+        raw = [(c if c[:1] == "\n" else f" {c}").encode() for c in chunks]
+        a_ids = [self.a.chunks[c] for c in chunks]
+        a, b = np.frombuffer(b"".join(a_ids), "<u4"), np.array([i for x in b_ids for i in x], "<u4")
+        borders = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        if self.a_sizes[a].sum() != borders[-1] or self.b_sizes[b].sum() != borders[-1]:
+            raise RuntimeError("a tokenizer does not give a chunk back")
+        labels = self.labels(a, b, int(borders[-1]))
+        groups, ends, pairs = self.scan(a, b, labels, grouped)
+        self.a.chunks.clear()
+        tokens = np.array([[len(x) // 4 for x in a_ids], [len(x) for x in b_ids]], np.int64)
+        return groups, pairs, np.searchsorted(ends, borders, "right"), np.concatenate([[0], np.cumsum(labels > 0)])[borders], tokens
 
-    def batch(self, texts: pa.Array) -> Batch:
-        return Batch(self, texts)
+    def learn(self, chunks: list[str]) -> None:
+        """Remember new chunks."""
+        groups, pairs, group_at, link_at, tokens = self.aligned(chunks)
+        first, packed = len(self.groups), pairs.tobytes()
+        self.index.update((c, first + n) for n, c in enumerate(chunks))
+        self.counts = np.concatenate([self.counts, np.stack([*tokens, np.diff(group_at), np.diff(link_at)], 1)])
+        g, k = group_at.tolist(), (8 * link_at).tolist()
+        self.groups += ["".join(groups[lo:hi]).encode() for lo, hi in zip(g[:-1], g[1:])]
+        self.pairs += [packed[lo:hi] for lo, hi in zip(k[:-1], k[1:])]
+
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All chunks of texts one after the other, where each text's begin, and
+        which texts are labelled whole.  Null and empty texts count as one chunk."""
+        alone = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False)
+        if not self.by_chunk:
+            alone = pc.binary_length(texts).to_numpy() > 0
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        return parts.flatten(), parts.offsets.to_numpy().astype(np.int64), alone
 
 
 class Batch:
@@ -176,31 +179,16 @@ class Batch:
 
     def __init__(self, aligner: Aligner, texts: pa.Array):
         texts = pc.fill_null(texts, "")
-        empty = pc.binary_length(texts).to_numpy() == 0
-        alone = pc.match_substring_regex(texts, "[ \n]{2}|\\x00|^[ \n]|▁").to_numpy(zero_copy_only=False) & ~empty
-        if not aligner.by_chunk:
-            alone = ~empty
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        bounds = parts.offsets.to_numpy().astype(np.int64)
-        coded = parts.flatten().dictionary_encode()
-        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        used = np.zeros(len(names), bool)
-        cut = np.repeat(~(alone | empty), np.diff(bounds))
-        used[at[cut]] = True
-        missing = [name for name, needed in zip(names, used) if needed and name not in aligner.index]
+        flat, bounds, alone = aligner.split(texts)
+        cut = np.repeat(~alone & (pc.binary_length(texts).to_numpy() > 0), np.diff(bounds))
+        coded = flat.filter(pa.array(cut)).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        missing = [name for name in names if name not in aligner.index]
         for k in range(0, len(missing), 2000):
             aligner.learn(missing[k : k + 2000])
-        number = np.array([aligner.index.get(name, 0) if needed else 0 for name, needed in zip(names, used)], np.int64)
-        odd = np.zeros(len(names), bool)
-        if len(aligner.counts):
-            odd = used & (aligner.counts[number, 0] < 0)
-        if odd.any():
-            bad = np.zeros(len(texts), bool)
-            bad[np.repeat(np.arange(len(texts)), np.diff(bounds))[odd[at] & cut]] = True
-            alone |= bad
-            cut = np.repeat(~(alone | empty), np.diff(bounds))
+        number = np.array([aligner.index[name] for name in names], np.int64)
         self.aligner, self.texts, self.alone = aligner, texts, np.flatnonzero(alone)
-        self.chunk = number[at[cut]]
+        self.chunk = number[coded.indices.to_numpy()]
         self.bounds = np.concatenate([[0], np.cumsum(cut)])[bounds]
 
     def total(self, of_chunk: np.ndarray) -> np.ndarray:
@@ -216,51 +204,62 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[starts], np.add.reduceat(weights, starts) if len(starts) else weights
 
 
+def _counted_chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """(chunk, pair, n): how often each chunk stands in the texts that are cut, and
+    the pairs of the others."""
+    names = ["chunk", "pair", "n"]
+
+    def run(batches):
+        aligner = Aligner.of(a_path, b_path)
+        for batch in batches:
+            column = pc.fill_null(batch.column(0), "")
+            for lo, hi in slices(column, 8_000_000):
+                texts = column.slice(lo, hi - lo)
+                flat, bounds, alone = aligner.split(texts)
+                cut = np.repeat(~alone & (pc.binary_length(texts).to_numpy() > 0), np.diff(bounds))
+                counts = flat.filter(pa.array(cut)).value_counts()
+                yield pa.RecordBatch.from_arrays([counts.field("values"), pa.nulls(len(counts), pa.int64()), counts.field("counts")], names=names)
+                for i in np.flatnonzero(alone).tolist():
+                    pairs, n = _summed(*(lambda x: (x, np.ones(len(x), np.int64)))(aligner.whole(texts[i].as_py(), grouped=False)[2]))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.string()), pa.array(pairs), pa.array(n)], names=names)
+        give_back()
+
+    return docs.select("text").mapInArrow(run, "chunk string, pair long, n long").groupBy("chunk", "pair").agg(F.sum("n").alias("n"))
+
+
 def count_pairs(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(pair, n): the links of every id pair over all texts."""
 
     def run(batches):
         aligner = Aligner.of(a_path, b_path)
-        aligner.forget(grouped=False)
-        seen = np.zeros(0, np.int64)  # places of each chunk
-        single: list[np.ndarray] = []  # pairs of texts that are labelled whole
+        aligner.forget()
+        keys: list[np.ndarray] = []
+        weights: list[np.ndarray] = []
 
         def told():
-            nonlocal seen, single
-            keys = [np.frombuffer(b"".join(aligner.pairs), "<i8"), *single]
-            links = np.maximum(aligner.counts[:, 3], 0)
-            weights = [np.repeat(seen, links), *(np.ones(len(x), np.int64) for x in single)]
             key, n = _summed(np.concatenate(keys), np.concatenate(weights))
-            seen, single = np.zeros(0, np.int64), []
+            keys.clear()
+            weights.clear()
             for k in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(n[k : k + 100_000])], names=["pair", "n"])
 
-        waiting = 0
-        for batch in slices_of(batches):
-            column = batch.column(0)
-            for lo, hi in slices(column):
-                if len(aligner.index) > MOST_CHUNKS or waiting > 2_000_000:
-                    yield from told()
-                    waiting = 0
-                    if len(aligner.index) > MOST_CHUNKS:
-                        aligner.forget(grouped=False)
-                    seen = np.zeros(len(aligner.groups), np.int64)
-                found = aligner.batch(column.slice(lo, hi - lo))
-                if len(aligner.groups) > len(seen):
-                    seen = np.concatenate([seen, np.zeros(len(aligner.groups) - len(seen), np.int64)])
-                seen += np.bincount(found.chunk, minlength=len(seen))
-                for i in found.alone.tolist():
-                    pairs = aligner.whole(found.texts[i].as_py())[2]
-                    single.append(pairs)
-                    waiting += len(pairs)
-        if len(seen) or single:
-            if not len(seen):
-                seen = np.zeros(len(aligner.groups), np.int64)
+        for batch in slices_of(batches, 4000):
+            ready = batch.column("chunk").is_null()
+            own = batch.filter(ready)
+            if own.num_rows:
+                keys.append(own.column("pair").to_numpy())
+                weights.append(own.column("n").to_numpy())
+            rest = batch.filter(pc.invert(ready))
+            if rest.num_rows:
+                _, pairs, _, link_at, _ = aligner.aligned(rest.column("chunk").to_pylist(), grouped=False)
+                keys.append(pairs)
+                weights.append(np.repeat(rest.column("n").to_numpy(), np.diff(link_at)))
+            if sum(map(len, keys)) > 2_000_000:
+                yield from told()
+        if keys:
             yield from told()
-        aligner.forget()
-        give_back()
 
-    return docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return _counted_chunks(docs, a_path, b_path).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 class Hot:
@@ -295,12 +294,12 @@ def _scores(docs: DataFrame, a_path: str, b_path: str, shared) -> DataFrame:
                     aligner.forget()
                     known, rare = np.zeros((0, 2), np.int64), {}
                 part = batch.slice(lo, hi - lo)
-                found = aligner.batch(part.column("text"))
+                found = Batch(aligner, part.column("text"))
                 first = len(known)
                 if len(aligner.groups) > first:
                     pairs = np.frombuffer(b"".join(aligner.pairs[first:]), "<i8")
                     n, best, there = hot.find(pairs)
-                    borders = np.concatenate([[0], np.cumsum(np.maximum(aligner.counts[first:, 3], 0))])
+                    borders = np.concatenate([[0], np.cumsum(aligner.counts[first:, 3])])
                     sums = [np.concatenate([[0], np.cumsum(x)])[borders] for x in (n, best, ~there)]
                     known = np.concatenate([known, np.stack([np.diff(x) for x in sums[:2]], 1)])
                     for k in np.flatnonzero(np.diff(sums[2])).tolist():

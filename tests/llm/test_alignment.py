@@ -11,7 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from ledgerloom.llm.alignment import Aligner, align, byte_level
+from ledgerloom.llm.alignment import Aligner, Batch, align, byte_level
 
 from .conftest import edge_rows
 
@@ -94,7 +94,7 @@ def test_what_a_worker_remembers_changes_nothing(documents):
     aligner = Aligner(A, B)
     for _, text in few:
         aligner.forget()
-        found = aligner.batch(pa.array([text], pa.string()))
+        found = Batch(aligner, pa.array([text], pa.string()))
         n = [int(found.total(aligner.counts[:, k])[0]) for k in range(4)]
         if len(found.alone):
             n = aligner.whole(text)[0].tolist()
@@ -114,7 +114,8 @@ def test_edges(spark, edge, nothing):
 def test_labels_and_groups():
     aligner = Aligner.of(A, B)
     a, b = np.array(aligner.a.tokenizer.encode(" hello").ids), np.array(aligner.b.library.encode("hello"))
+    aligner.forget()
     labels = aligner.labels(a, b, 6)
     assert labels[-1] == 3 and (labels > 0).sum() >= 1
     groups, ends, pairs = aligner.scan(a, b, labels)
-    assert ends[-1] == 6 and b"".join(groups).count(b"|") == len(groups) and len(pairs) == (labels > 0).sum()
+    assert ends[-1] == 6 and "".join(groups).count("|") == len(groups) and len(pairs) == (labels > 0).sum()
