@@ -25,7 +25,9 @@ Formulas keep their text; where all text stands in a form, the form is kept.
 
 Null and empty html give an empty text; a null or broken url is a host of its
 own name; repeated pages give repeated rows; unclosed tags end with their
-parent; an empty table gives no rows; other columns are not read.
+parent; elements nested deeper than ``DEEP`` have the place of their ancestor at
+that depth; a null page_id stays null; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ import difflib
 import html as html_lib
 import json
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -82,13 +85,75 @@ OUTER_NAMES = re.compile(r"(?:^|[-_ ])(?:header\w*|masthead|topbar)(?:$|[-_ ])",
 #: Parts in which a host's streams are merged, step by step.
 MERGES = (256, 16, 1)
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|$)"
-    rf"|<(?:{EMBEDDED})(?=[\s/>])[^>]*/>|<(?P<media>{EMBEDDED})(?=[\s/>])[^>]*>.*?</(?P=media)\s*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_WHOLE = re.compile(rf"<({RAW}|{EMBEDDED})(?=[\s/>])", re.I)
+_QUOTE_OR_END = re.compile("[>\"']")
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in f"{RAW}|{EMBEDDED}".split("|")}
+#: Elements deeper than this have the place of their ancestor at that depth.
+DEEP = 200
+
+
+def tags(html: str):
+    """(start, end, closing, name, attributes) of all markup, from left to right;
+    what holds no element (comments, scripts, media, broken tags) has no name.
+
+    Time is linear on any page: a search that has failed is not made again - for
+    a ``>`` or a closing tag where none follows, and for the end of a tag whose
+    quotes swallow the rest (``dead`` holds the quotes that such a search opened).
+    """
+    at, unclosed, dead = 0, set(), set()
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = len(html) if end < 0 else end + 3
+            yield at, end, "", None, ""
+            at = end
+            continue
+        first = html[at + 1 : at + 2]
+        named = _NAME.match(html, at)
+        if not named and (not first or first not in "!?/"):
+            at += 1
+            continue
+        close = html.find(">", at)
+        if close < 0:  # no tag can end any more, and a comment goes on to the end
+            if (at := html.find("<!--", at)) >= 0:
+                yield at, len(html), "", None, ""
+            return
+        end, name, closing, rest = close + 1, None, "", ""
+        if found := _WHOLE.match(html, at):
+            kind = found[1].lower()
+            if kind in EMBEDDED.split("|") and html[close - 1] == "/":
+                yield at, end, "", None, ""
+                at = end
+                continue
+            ended = None if kind in unclosed else _CLOSING[kind].search(html, end)
+            if ended or kind in RAW.split("|"):
+                end = ended.end() if ended else len(html)
+                yield at, end, "", None, ""
+                at = end
+                continue
+            unclosed.add(kind)
+        if named:
+            j, opened = named.end(), []
+            while hit := _QUOTE_OR_END.search(html, j):
+                j = hit.start()
+                if html[j] == ">":
+                    closing, name, rest, end = named[1], named[2], html[named.end() : j], j + 1
+                    break
+                if j in dead:
+                    hit = None
+                    break
+                opened.append(j)
+                partner = html.find(html[j], j + 1)
+                if partner < 0:
+                    hit = None
+                    break
+                j = partner + 1
+            if not hit:
+                dead.update(opened)
+        yield at, end, closing, name, rest
+        at = end
 
 
 NO_ELEMENT = ("", False, 0, "", "", False)
@@ -104,15 +169,15 @@ class Page:
         # name, left out, main rank, path of containers, path of all blocks, in a form only
         self.stack: list[tuple[str, bool, int, str, str, bool]] = []
         self.buffer: list[str] = []
+        self.open: Counter[str] = Counter()  # elements of the stack by name
         self.links = 0
         at = 0
-        for hit in TOKEN.finditer(html):
-            if hit.start() > at:
-                self._text(html[at : hit.start()])
-            at = hit.end()
-            name = hit["name"]
+        for start, end, closing, name, rest in tags(html):
+            if start > at:
+                self._text(html[at:start])
+            at = end
             if name:
-                (self._close if hit["end"] else self._open)(name.lower(), hit["rest"])
+                (self._close if closing else self._open)(name.lower(), rest)
         if at < len(html):
             self._text(html[at:])
         self._flush()
@@ -125,7 +190,7 @@ class Page:
                 self.stream.append("#")
             return
         self.buffer.append(raw)
-        if any(s[0] == "a" for s in self.stack):
+        if self.open["a"]:
             self.links += len(raw.strip())
 
     def _flush(self) -> None:
@@ -140,6 +205,7 @@ class Page:
 
     def _pop(self) -> None:
         name = self.stack.pop()[0]
+        self.open[name] -= 1
         if name in BLOCKS:
             self.stream.append(f"/{name}")
 
@@ -148,12 +214,13 @@ class Page:
             self.buffer.append(" ")
         if name in BLOCKS:
             self._flush()
-        if name in VOID or (rest.endswith("/") and any(s[0] == "math" for s in self.stack)):
+        if name in VOID or (rest.endswith("/") and self.open["math"]):
             return
-        if name in CLOSES_P and any(s[0] == "p" for s in self.stack):
+        if name in CLOSES_P and self.open["p"]:
             self._close("p", "")
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in SIBLINGS.get(name, ()):
+        siblings = [x for x in SIBLINGS.get(name, ()) if self.open[x]]
+        for k in range(len(self.stack) - 1, -1 if siblings else len(self.stack), -1):
+            if self.stack[k][0] in siblings:
                 self._close(self.stack[k][0], "")
                 break
             if self.stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "select"):
@@ -182,18 +249,20 @@ class Page:
         out = out or bool(names and rank < 2 and not main and name not in ("html", "body") and OUTER_NAMES.search(names))
         form = up[5] or (name == "form" and not up[2])
         path, slot = up[3], up[4]
-        if name in BLOCKS:
+        deep = len(self.stack) >= DEEP
+        if name in BLOCKS and not deep:
             slot = f"{slot}/{name}" + (f".{re.sub('[0-9]+', 'N', names.split()[0])}" if names else "")
-        if name in ("body", "div", "section", "article", "main", "td"):
+        if name in ("body", "div", "section", "article", "main", "td") and not deep:
             path = f"{path}/{name}" + (f".{re.sub('[0-9]+', 'N', names.split()[0])}" if names else "")
         self.stack.append((name, out, rank, path, slot, form))
+        self.open[name] += 1
         if name in BLOCKS:
             self.stream.append(name + (f".{re.sub('[0-9]+', 'N', names)}" if names else ""))
 
     def _close(self, name: str, rest: str) -> None:
         if name in BLOCKS:
             self._flush()
-        if any(s[0] == name for s in self.stack):
+        if self.open[name]:
             while self.stack[-1][0] != name:
                 self._pop()
             self._pop()

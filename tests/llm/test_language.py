@@ -1,9 +1,11 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from ledgerloom.llm import katz, wrappers
 
@@ -152,3 +154,27 @@ def test_wrapper_decides_fixed_slots(spark):
 def test_long_repeats_fold():
     turn = [f"x{i}" for i in range(20)]
     assert wrappers.fold(["a", *turn, *turn, *turn, "b"]) == ["a", ["+", turn], "b"]
+
+
+@pytest.mark.parametrize(
+    "html, kept",
+    [
+        ("<script x" * 40_000, True), ("<video src=x> t " * 20_000, True), ("<a b='" * 30_000, True), ("<div>" * 20_000 + "deep", True), ("<a '>'" * 30_000, True),
+        ("<p>a</p><a " + "x" * 300_000 + "=1>t", True), ("<li>" * 20_000 + "x", True), ("<!-- " * 50_000, False), ("<p>" + "<b c=\"" * 20_001 + "x</p>", True), ("<" * 200_000, True),
+    ],
+)
+def test_broken_pages_take_linear_time(html, kept):
+    began = time.process_time()
+    page = wrappers.Page(html)
+    assert time.process_time() - began < 3 and bool(page.main_text(None)) == kept
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("a<!-- b > c --> d<!-- e", "a d"), ("<p title='x > y'>b</p>c", "b\nc"), ("<b a='>c</b>d", "cd"), ("<svg a/>b<svg>c</svg>d<svg>e", "bde"), ("<script>a</scripT >b<script>c", "b"),
+        ("1 < 2 <3 > </ >x", "1 < 2 <3 > x"), ("<!doctype html><?x y?>z", "z"), ("a <b", "a <b"), ("a <b <!-- c", "a <b"), ('<p data-hidden="no" class="x" >k</p>', "k"), ("<p hidden>n</p>k", "k"),
+    ],
+)
+def test_markup_is_cut_from_left_to_right(html, text):
+    assert wrappers.Page(html).main_text(None) == text
