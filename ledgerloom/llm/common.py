@@ -23,14 +23,15 @@ _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by bytes where the session does not say otherwise."""
+    """What a session needs before an operator's Python code runs: this package on
+    all executors, and Arrow batches limited by bytes where it does not say otherwise."""
+    ship_package(spark)
     if _BATCH_CONF not in spark.conf.getAll:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table; only Spark's readers touch the path."""
-    ship_package(spark)
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
