@@ -525,7 +525,7 @@ ORACLES = {
     "record_store": K1_SQL + " SELECT partnership_ein, partner_tin, tax_year, CASE WHEN right(partner_tin, 1) IN ('3', '7') THEN '2' ELSE '1' END AS batch, distributions, partner_share_percentage FROM k1 WHERE tax_year IN ('1995', '1996')",
     "incremental_rules": f"SELECT CASE rule_id {_NAMES} END AS rule_id, {_SEVERITY} AS severity, count(*) AS n, count(*) FILTER (passed) AS passed_n FROM ({_ALL_RULES}) q GROUP BY q.rule_id",
     "record_upsert": K1_SQL + _HISTORY + f" SELECT partnership_ein, partner_tin, tax_year, {_RUN} AS run_id, distributions, interest_income FROM h QUALIFY row_number() OVER (PARTITION BY partnership_ein, partner_tin, tax_year ORDER BY v DESC) = 1",
-    "partnerships": K1_SQL + " SELECT partnership_ein, tax_year, count(*) AS k1_count, max(partnership_name) AS name FROM k1 GROUP BY ALL",
+    "partnerships": K1_SQL + " SELECT partnership_ein, tax_year, count(*) AS k1_count, arg_min(partnership_name, partner_tin) AS name FROM k1 GROUP BY ALL",
     "overview_totals": K1_SQL + _ANALYSIS + " SELECT count(*) AS reports, CAST(sum(CAST(round(total_income * 100, 0) AS BIGINT)) AS BIGINT) AS income_cents, CAST(sum(CAST(round(net_taxable_income * 100, 0) AS BIGINT)) AS BIGINT) AS net_cents FROM an2",
     "summary_export": K1_SQL + _ANALYSIS + f" SELECT partnership_ein, partner_tin, CAST(position AS INT) AS position, field, value FROM an2, LATERAL (VALUES {_EXPORT}) x(position, field, value)",
     "populated_fields": K1_SQL + " SELECT partnership_ein, partner_tin, tax_year, " + " + ".join(f"CAST({f} IS NOT NULL AS INT)" for f in ["tax_year", "partnership_name", "partner_type", "partner_share_percentage", *AMOUNT_FIELDS]) + " AS populated FROM k1",

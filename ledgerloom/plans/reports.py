@@ -34,7 +34,10 @@ def overview(reports: DataFrame) -> DataFrame:
 
 
 def partnerships(records: DataFrame) -> DataFrame:
-    return records.groupBy("partnership_ein", "tax_year").agg(F.count("*").alias("k1_count"), F.max("partnership_name").alias("name"))
+    """Each partnership and year with its number of records and the name that its
+    first record gives (by time and run where there are such, then by partner)."""
+    order = F.struct(*(F.col(c) for c in ("ingested_at", "run_id", "partner_tin") if c in records.columns), "partnership_name")
+    return records.groupBy("partnership_ein", "tax_year").agg(F.count("*").alias("k1_count"), F.min_by("partnership_name", order).alias("name"))
 
 
 def scoped_results(results: DataFrame, ein: str) -> DataFrame:

@@ -11,8 +11,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pdf import counted_pages
 from ..functions.text import file_stem, slug
 from ..schemas import KEY, SUMMARY_FIELDS, TABLE
+from ..session import ship_package
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*", exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -55,21 +57,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def page_count(content):
-    """Page marks in a PDF's bytes; -1 where there are none."""
-    text = F.decode(content, "ISO-8859-1")
-    pages = F.size(F.regexp_extract_all(text, F.lit(r"/Type\s*/Page[^s]"), F.lit(0)))
-    return F.when(pages > 0, pages).otherwise(-1)
-
-
 def ingest(files: DataFrame, now=None) -> DataFrame:
     """run_id, name, size, hash, pages and bytes of binary files."""
+    ship_package(files.sparkSession)
     at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
         F.concat_ws("_", file_stem(F.col("path")), F.unix_timestamp("modificationTime").cast("string")).alias("run_id"),
         name.alias("source_pdf_name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("pdf_sha256"),
-        page_count(F.col("content")).alias("page_count"), at.alias("ingested_at"), "content",
+        counted_pages(F.col("content")).alias("page_count"), at.alias("ingested_at"), "content",
     )
 
 

@@ -1,7 +1,9 @@
 import re
 
+from pyspark.sql import functions as F
+
 from ledgerloom.functions.minify import apply, passes
-from ledgerloom.operators import spans
+from ledgerloom.operators import cross_rules, spans
 from ledgerloom.plans import results
 from ledgerloom.schemas import RECORD
 from ledgerloom.sources import files
@@ -92,3 +94,41 @@ def test_minified_table_equals_passes_one_by_one(spark):
         for name in passes(aggressive=True):
             text = text and apply(name, text)
         assert row.minified == (None if text is None else re.sub("\n\n\n+", "\n\n", text).strip() + "\n")
+
+
+def test_whole_result_document(spark, tmp_path):
+    records, statuses = runs(spark)
+    span = "run_id string, mode string, entity_type string, start int, end int, score double, text_snippet string"
+    found = spark.createDataFrame([("a_1", "patterns", "EIN", 9, 19, 0.85, "12-3456789"), ("a_1", "patterns", "PERSON", 0, 3, 0.5, "Ann"), ("a_1", "combined", "EIN", 9, 19, 0.9, "12-3456789")], span)
+    times = spark.createDataFrame([("a_1", "2025-01-01T00:00:00", "2025-01-01T00:01:00")], "run_id string, ingestion_timestamp string, analysis_timestamp string")
+    documents = results.run_documents(records, statuses, generated_at="2025-01-02", comparison=results.entity_comparison(found), times=times)
+    got = {r.run_id: r for r in documents.collect()}
+    one = got["a_1"].pii_comparison["patterns"]
+    assert (one.total, one.counts, [e.text_snippet for e in one.entities]) == (2, {"EIN": 1, "PERSON": 1}, ["Ann", "12-3456789"])
+    assert set(got["a_1"].pii_comparison) == {"patterns", "combined"} and got["b_2"].pii_comparison == {}
+    assert got["a_1"].processing_metadata.asDict() == dict.fromkeys(results.STEP_TIMES) | {"ingestion_timestamp": "2025-01-01T00:00:00", "analysis_timestamp": "2025-01-01T00:01:00", "report_generated_at": "2025-01-02"}
+    assert set(got["b_2"].processing_metadata.asDict().values()) == {None, "2025-01-02"} and got["a_1"].pipeline_run.pipeline_version == "1.0.0"
+    results.write_documents(documents, f"{tmp_path}/output")
+    back = results.read_overview(spark, f"{tmp_path}/output", "pii_comparison map<string,struct<total:bigint>>, processing_metadata struct<ocr_timestamp:string,analysis_timestamp:string>")
+    assert back.first().pii_comparison["patterns"].total == 2
+
+
+def test_rule_document_as_rows(spark, tmp_path):
+    rows = [("e1", f"t{i % 3}", str(2022 + i // 3), ["Zeta", "Alpha", None][i % 3], 60.0) for i in range(6)] + [("e2", "t", "2022", "Solo", 100.0)]
+    records = spark.createDataFrame(rows, "partnership_ein string, partner_tin string, tax_year string, partnership_name string, partner_share_percentage double")
+    records = records.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in RECORD.fields if f.name not in records.columns))
+    judged = cross_rules.all_rules(records).drop("run_id_trigger")
+    parts = results.rule_parts(judged, records, "2025-01-01")
+    head = parts["summary"].first()
+    assert head.total_checks == judged.count() == head.passed + head.failed and head.critical + head.warnings + head.advisory == head.failed > 0
+    assert head.year_pairs_checked == 3 and head.generated_at == "2025-01-01"
+    groups = {(r.partnership_ein, r.tax_year): (r.partner_count, r.partnership_name) for r in parts["partnerships_validated"].collect()}
+    assert groups == {("e1", "2022"): (3, "Zeta"), ("e1", "2023"): (3, "Zeta"), ("e2", "2022"): (1, "Solo")}  # the first record's name
+    results.write_rules(parts, f"{tmp_path}/output")
+    folder = f"{tmp_path}/output/{results.RULES_NAME}"
+    assert spark.read.json(f"{folder}/results").count() == head.total_checks and spark.read.json(f"{folder}/summary").first().failed == head.failed
+    one = results.rule_document_of(parts, "e2").first()
+    assert one.summary.total_checks == len(one.results) > 0 and [tuple(p) for p in one.partnerships_validated] == [("2022", 1, "Solo")]
+    assert {r.partnership_ein for r in spark.read.json(f"{folder}/partnerships_validated").collect()} == {"e1", "e2"}
+    none = results.rule_document_of(parts, "none").first()
+    assert none.summary.total_checks == 0 and none.results == []
