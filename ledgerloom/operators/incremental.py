@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import INCOME6, KEY
+from ..schemas import INCOME6, KEY, TABLE
 from ..session import release, stored
 from ..sources.record_store import LEAF_BYTES, Change, Connector, Folder, LeafStore, Manifest, RecordStore
 from .cross_rules import GROUP, RESULT, group_rules, pair_rules, repeated_files, totals, year_pairs
@@ -67,11 +67,11 @@ class RuleBook:
         connector = connector or Connector()
         root = root.rstrip("/")
         make = lambda name, schema, keys: LeafStore(spark, f"{root}/{name}", schema, keys, connector, leaf_bytes)
-        results = _results_schema()
+        results, none = _results_schema(), spark.createDataFrame([], TABLE)
         by_group = [*GROUP, "tax_year"]
         self.stores = {
-            "totals": make("totals", totals(records.read()).schema, by_group), "groups": make("groups", results, by_group),
-            "pairs": make("pairs", T.StructType([*results, T.StructField("pair_tin", T.StringType())]), [*_PAIR, "tax_year"]), "files": make("files", records.read().select(*_FILE).schema, ["pdf_sha256", "partner_tin", "tax_year"]),
+            "totals": make("totals", totals(none).schema, by_group), "groups": make("groups", results, by_group),
+            "pairs": make("pairs", T.StructType([*results, T.StructField("pair_tin", T.StringType())]), [*_PAIR, "tax_year"]), "files": make("files", none.select(*_FILE).schema, ["pdf_sha256", "partner_tin", "tax_year"]),
             "repeats": make("repeats", results, ["detail", "partner_tin", "tax_year"]),
         }
         self.options = connector.options() | {"path": connector.root(f"{root}/marker")}
@@ -102,7 +102,7 @@ class RuleBook:
 
         # whole partnerships hold all records of a touched group and all years of a touched partner
         leaves = self.records.leaves_of(touched, records, whole_buckets=True)
-        near = self.records.read_leaves(leaves, change.after)
+        near = stored(self.records.read_leaves(leaves, change.after).join(touched.select("partnership_ein").distinct(), "partnership_ein", "left_semi"), "near-records")
         self.last_read = sum(f["rows"] for f in records.files if (f["bucket"], f["part"]) in set(leaves))
         own = stored(near.join(groups, GROUP, "left_semi"), "group-records")
 
@@ -122,7 +122,7 @@ class RuleBook:
         again = stored(repeated_files(same), "file-results")
         self.stores["repeats"].change(again, hashes.withColumnRenamed("pdf_sha256", "detail"), ["detail"], held["repeats"], whole_buckets=True)
         self._mark(change.after)
-        release(touched, hashes, own, new, pairs, judged, again)
+        release(touched, hashes, near, own, new, pairs, judged, again)
 
     def rebuild(self) -> None:
         """Judge everything afresh."""

@@ -91,9 +91,9 @@ def q_upsert(spark, sf_dir):
     return files.upsert(stored, new).select(*KEY, "run_id", "distributions", "interest_income")
 
 
-def _in_batches(spark, sf_dir):
-    """A record store and its rules after two batches: records of which some are
-    missing or wrong, then those that put them right."""
+def _in_batches(spark, sf_dir, judged):
+    """A record store, and its rules if they are to be ``judged``, after two batches:
+    records of which some are missing or wrong, then those that put them right."""
     k1 = _kept(spark, sf_dir)
     last = F.substring("partner_tin", -1, 1)
     stamp = lambda df, v: df.withColumns({"run_id": F.concat_ws("/", *KEY, F.lit(str(v))), "ingested_at": F.lit(f"2025-01-0{v}T00:00:00")}).select(
@@ -104,19 +104,22 @@ def _in_batches(spark, sf_dir):
     })
     root = f"{shared_dir(spark)}/ledgerloom/rules-{uuid.uuid4().hex}"
     records = RecordStore(spark, f"{root}/records")
-    book = RuleBook(spark, f"{root}/rules", records)
+    book = RuleBook(spark, f"{root}/rules", records) if judged else None
     for batch in (stamp(wrong, 1), stamp(k1.where(last.isin("3", "7")), 2)):
-        upsert_and_judge(records, book, batch)
+        if judged:
+            upsert_and_judge(records, book, batch)
+        else:
+            records.upsert(batch)
     return records, book
 
 
 def q_record_store(spark, sf_dir):
-    records, _ = _in_batches(spark, sf_dir)
+    records, _ = _in_batches(spark, sf_dir, judged=False)
     return records.read().where("tax_year IN ('1995', '1996')").select(*KEY, F.element_at(F.split("run_id", "/"), -1).alias("batch"), "distributions", "partner_share_percentage")
 
 
 def q_incremental_rules(spark, sf_dir):
-    _, book = _in_batches(spark, sf_dir)
+    _, book = _in_batches(spark, sf_dir, judged=True)
     found = cross_rules.published(book.results().where("category <> 'C'"))
     return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed_n"))
 

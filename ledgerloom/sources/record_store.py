@@ -426,9 +426,11 @@ class LeafStore:
         """Publish the next version: without the rows whose ``match`` columns (the
         first two keys among them) stand in ``gone``, with the rows of ``come``.
         Only leaves of both are read and written; they are returned.  With
-        ``whole_buckets`` the first key of ``gone`` is enough."""
+        ``whole_buckets`` the first key of ``gone`` is enough.  A change that
+        touches nothing makes no version."""
         base = base or self.folder.manifest()
-        parts, moved = self._layout(base, come.count())
+        rows = come.count()
+        parts, moved = self._layout(base, rows)
         keys = come.select(*self.keys[:2])
         keys = keys if whole_buckets else keys.union(gone.select(*self.keys[:2]))
         hit = {tuple(r) for r in self.placed(keys, parts).select("bucket", "part").distinct().collect()}  # at most the number of leaves
@@ -438,6 +440,8 @@ class LeafStore:
         parts = parts if moved else [p if b in split else base.parts[b] for b, p in enumerate(parts)]
         old = set(base.leaves())
         touched = sorted(old if moved else {x for x in old if x in hit or x[0] in split})
+        if not rows and not touched:
+            return []
         names = self.schema.fieldNames()
         kept = self.read_leaves(touched, base.version).join(gone.select(*match).distinct(), match, "left_anti").select(*names)
         out = self.placed(kept.unionByName(come.select(*names)), parts).repartition("bucket", "part").sortWithinPartitions("bucket", "part", self.keys[2], *self.keys[:2])
