@@ -160,7 +160,7 @@ def test_long_repeats_fold():
     "html, kept",
     [
         ("<script x" * 40_000, True), ("<video src=x> t " * 20_000, True), ("<a b='" * 30_000, True), ("<div>" * 20_000 + "deep", True), ("<a '>'" * 30_000, True),
-        ("<p>a</p><a " + "x" * 300_000 + "=1>t", True), ("<li>" * 20_000 + "x", True), ("<!-- " * 50_000, False), ("<p>" + "<b c=\"" * 20_001 + "x</p>", True), ("<" * 200_000, True),
+        ("<p>a</p><a " + "x" * 300_000 + "=1>t", True), ("<li>" * 20_000 + "x", True), ("<!-- " * 50_000, False), ("<p>" + "<b c=\"" * 20_001 + "x</p>", False), ("<" * 200_000, True),
     ],
 )
 def test_broken_pages_take_linear_time(html, kept):
