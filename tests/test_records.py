@@ -131,7 +131,7 @@ def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in "customer orders lineitem documents supplier nation conversations".split():
+    for t in "customer orders lineitem documents supplier nation conversations benchmark".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, expected = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLES[name]).df()
     assert sorted(got) == sorted(expected)
