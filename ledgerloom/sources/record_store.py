@@ -43,12 +43,12 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
 from ..schemas import KEY, TABLE
-from ..session import release, ship_package, stored
+from ..session import give_back, release, ship_package, stored
 
 FORMAT = "ledger_records"
 LEAF_BYTES = 128 << 20
-#: Bytes of files that one task reads.
-READ_BYTES = 64 << 20
+#: Bytes and rows of files that one task reads.
+READ_BYTES, READ_ROWS = 64 << 20, 1_000_000
 #: Bytes a record takes before any file tells.
 _ROW_BYTES = 150
 #: Rows of a row group, the unit that statistics skip.
@@ -234,13 +234,13 @@ class RecordReader(DataSourceReader):
         return found
 
     def partitions(self) -> list[InputPartition]:
-        parts, size = [FilePart([])], 0
+        parts, size, rows = [FilePart([])], 0, 0
         for f in self.files():
-            if parts[-1].paths and size + f["bytes"] > READ_BYTES:
+            if parts[-1].paths and (size + f["bytes"] > READ_BYTES or rows + f["rows"] > READ_ROWS):
                 parts.append(FilePart([]))
-                size = 0
+                size = rows = 0
             parts[-1].paths.append(f["path"])
-            size += f["bytes"]
+            size, rows = size + f["bytes"], rows + f["rows"]
         return parts
 
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
@@ -248,9 +248,16 @@ class RecordReader(DataSourceReader):
         for name, values in sorted(self.wanted.items()):
             one = ds.field(name).isin(sorted(values))
             test = one if test is None else test & one
+        # one row group at a time and nothing ahead of it: what a task holds does not grow with the file
+        how = ds.ParquetFragmentScanOptions(pre_buffer=False, use_buffered_stream=True)
         for path in partition.paths:
-            data = ds.dataset(f"{folder.root}/{path}", filesystem=folder.fs, format="parquet")
-            yield from (b for b in data.scanner(columns=self.schema.fieldNames(), filter=test, batch_size=8192).to_batches() if b.num_rows)
+            for whole in ds.dataset(f"{folder.root}/{path}", filesystem=folder.fs, format="parquet").get_fragments():
+                for group in whole.split_by_row_group() if test is None else whole.split_by_row_group(test):
+                    found = group.to_batches(
+                        columns=self.schema.fieldNames(), filter=test, batch_size=8192, batch_readahead=1, fragment_readahead=1, fragment_scan_options=how, use_threads=False,
+                    )
+                    yield from (b for b in found if b.num_rows)
+        give_back()
 
 
 @dataclass
@@ -279,7 +286,8 @@ class RecordWriter(DataSourceArrowWriter):
         for batch in iterator:
             rows = pa.table({name: batch.column(name) for name in self.schema.fieldNames()})
             bucket, part = (batch.column(c).to_numpy() for c in ("bucket", "part"))
-            cuts = [0, *(i for i in range(1, len(bucket)) if bucket[i] != bucket[i - 1] or part[i] != part[i - 1]), len(bucket)]
+            changes = (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])
+            cuts = [0, *(changes.nonzero()[0] + 1).tolist(), len(bucket)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if lo == hi:
                     continue
@@ -296,6 +304,7 @@ class RecordWriter(DataSourceArrowWriter):
                 now = now | {"rows": now["rows"] + own.num_rows, "last": last}
         if writer is not None:
             close()
+        give_back()
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
