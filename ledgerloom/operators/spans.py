@@ -10,6 +10,7 @@ look for names and places, another provider takes its place.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from functools import reduce
 
@@ -35,6 +36,7 @@ RECOGNISERS = {
     "IP_ADDRESS": (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", 0.95),
 }
 #: What every match of a recogniser holds: texts without it are not searched.
+#: All others hold a digit, which is looked for once for all recognisers.
 NEEDED = {"EIN": "-", "US_SSN": "-", "EMAIL_ADDRESS": "@", "PHONE_NUMBER": "(", "IP_ADDRESS": "."}
 ALLOWED_TERMS = [
     "partner", "partners", "partnership", "partnerships", "general partner", "limited partner", "domestic partner", "foreign partner",
@@ -42,13 +44,23 @@ ALLOWED_TERMS = [
     "tax matters partner", "partnership representative", "er member", "address", "k1",
 ]
 # ``\b`` means other letters in other engines; these borders are ASCII everywhere.
-_BEFORE, _AFTER = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
+_AFTER = "(?![0-9A-Za-z_])"
+#: The first character of a pattern, as a class, and how often it stands there.
+_FIRST = re.compile(r"(\[[^]]+\])(?:\{(\d+)(?:,(\d+))?\})?")
 SPAN_TYPE = "struct<entity_type:string,start:int,end:int,score:double,text_snippet:string>"
 
 
 def bordered(pattern: str) -> str:
-    """A recogniser's pattern for Spark, its word borders spelled out."""
-    pattern = _BEFORE + pattern[2:] if pattern.startswith(r"\b") else pattern
+    """A recogniser's pattern for Spark, its word borders spelled out.  What stands
+    before a match is looked at after its first character, which few places have."""
+    if pattern.startswith(r"\b"):
+        lead = _FIRST.match(pattern, 2)
+        if lead is None:
+            pattern = "(?<![0-9A-Za-z_])" + pattern[2:]
+        else:
+            one, least, most = lead[1], int(lead[2] or 1), int(lead[3] or lead[2] or 1)
+            more = "" if most == 1 else f"{one}{{{least - 1},{most - 1}}}"
+            pattern = f"{one}(?<![0-9A-Za-z_]{one}){more}{pattern[lead.end():]}"
     return pattern[:-2] + _AFTER if pattern.endswith(r"\b") else pattern
 
 
@@ -84,7 +96,15 @@ def pattern_spans(text: Column, entity: str, pattern: str, score: float, needed:
 def detect(text: Column, types: list[str] | None = None) -> Column:
     """Spans of the built-in recognisers, by type in the order of the table."""
     found = [pattern_spans(text, t, bordered(RECOGNISERS[t][0]), RECOGNISERS[t][1], NEEDED.get(t)) for t in (types or RECOGNISERS)]
-    return reduce(F.concat, found)
+    none = F.array().cast(f"array<{SPAN_TYPE}>")
+    return F.when(text.rlike("[0-9@]"), reduce(F.concat, found)).when(text.isNotNull(), none)
+
+
+def span_rows(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
+    """``columns`` and a span ``s`` for each that is detected.  The explode is an outer
+    one: before another one Spark would search every text a second time, to leave out
+    those without spans."""
+    return docs.select(*columns, F.explode_outer(detect(F.col(text))).alias("s")).where("s IS NOT NULL")
 
 
 def drop_false_positives(spans: Column) -> Column:
