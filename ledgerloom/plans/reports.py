@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.terms import Terms
 from ..schemas import INCOME7, RECORD
-from ..session import ship_package
+from ..session import ship_package, stored
 
 DEDUCTIONS = ["section_179_deduction", "foreign_taxes_paid", "qbi_deduction"]
 #: Most ground-truth strings of one broadcast.
@@ -102,8 +102,9 @@ def capital_bars(records: DataFrame) -> DataFrame:
 
 
 def comparison(spans: DataFrame) -> DataFrame:
-    """Entity counts by type and detection mode, with a TOTAL row."""
-    counts = spans.groupBy("entity_type").pivot("mode", ["patterns", "zero_shot", "combined"]).count().fillna(0)
+    """Entity counts by type and detection mode, with a TOTAL row; the few counts
+    are stored, as the total would search for the spans again."""
+    counts = stored(spans.groupBy("entity_type").pivot("mode", ["patterns", "zero_shot", "combined"]).count().fillna(0), "entity-counts")
     total = counts.agg(F.lit("TOTAL").alias("entity_type"), *(F.sum(c).alias(c) for c in ("patterns", "zero_shot", "combined")))
     return counts.unionByName(total)
 
