@@ -228,7 +228,9 @@ def q_identifiers(spark, sf_dir):
 
 def q_restored(spark, sf_dir):
     """Sanitized texts read back through the mapping of their run."""
-    rows = spans.sanitize(_letters(spark, sf_dir)).withColumn("report_dir", F.col("tax_year"))
+    letters = spans.sanitize(_letters(spark, sf_dir)).withColumn("report_dir", F.col("tax_year"))
+    # the texts and their mappings are two readers of one table
+    rows = stored(letters.select("run_id", "report_dir", "partnership_ein", "sanitized_text", "mapping"), "sanitized")
     own = rows.where("partnership_ein < '15'").select("run_id", "mapping")
     reports_ = dashboard.resolve_mappings(rows.select("run_id", "report_dir", "sanitized_text"), own, own.limit(0).withColumnRenamed("run_id", "report_dir"))
     return dashboard.resolved(reports_, ["sanitized_text"]).select("run_id", F.col("sanitized_text").alias("shown"))
