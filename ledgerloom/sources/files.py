@@ -193,7 +193,8 @@ def with_ingest_status(records: DataFrame) -> DataFrame:
 
 def assemble_records(ingested: DataFrame, extracted: DataFrame, identifiers: DataFrame, checks: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
     """Rows of the record table: each ingested run with its extracted fields, its
-    identifiers, the counts of its failed checks and its scores.  Only ``ingested``
+    identifiers, the counts of its failed checks and its scores.  ``checks`` has a row
+    for each check (severity, passed) or the counts of a report.  Only ``ingested``
     and ``extracted`` must know a run; of repeated rows of a run the first by
     their text stays."""
 
@@ -203,7 +204,8 @@ def assemble_records(ingested: DataFrame, extracted: DataFrame, identifiers: Dat
 
     rows = one(ingested).join(one(extracted), "run_id").join(one(identifiers), "run_id", "left")
     if checks is not None:
-        failed = lambda s: F.count_if(~F.col("passed") & (F.col("severity") == s)).cast("int")
+        counted = "passed" not in checks.columns
+        failed = lambda s: (F.sum(f"{s}_count") if counted else F.count_if(~F.col("passed") & (F.col("severity") == s))).cast("int")
         counts = checks.groupBy("run_id").agg(
             failed("critical").alias("deterministic_critical_count"), failed("warning").alias("deterministic_warning_count"),
         ).withColumn("deterministic_passed", F.col("deterministic_critical_count") == 0)
