@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -116,6 +117,31 @@ def test_copies_just_below_the_threshold(spark, monkeypatch, percent, families,
     assert sum(asked) < 20 * len(corpus)  # of nearly copies ** 2 / 2 pairs in each family
 
 
+def test_counting_common_tokens_holds_a_slice_at_a_time(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 20_000, 5_000)) for _ in range(400)]
+    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    tracemalloc.start()
+    both = jaccard._common_tokens(flat, sizes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40_000_000  # 88 million where all tokens were sorted at once
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i, j in rng.integers(0, 400, (60, 2)))
+    monkeypatch.setattr(jaccard, "SLICE_TOKENS", 70)
+    few = jaccard._common_tokens(flat[: sizes[:3].sum()].astype(np.uint32), sizes[:3])
+    assert (few == both[:3, :3])[~np.eye(3, dtype=bool)].all()  # the diagonal counts what any other set has
+
+
+def test_groups_of_many_tokens_are_not_compared_in_one_task(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    count = jaccard._common_tokens
+    monkeypatch.setattr(jaccard, "_common_tokens", lambda flat, sizes: (seen.add(len(flat) > 1000), count(flat, sizes))[1])
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 1000)
+    corpus = _just_below(200, families=2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
+    assert got == brute_by_matrix(corpus, 90) and seen.value == 0
+
+
 def test_one_id_with_two_texts(spark):
     words = [f"w{i}" for i in range(60)]
     a, b = " ".join(words), " ".join(reversed(words))
