@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, slices_of, store, table
+from .common import bound_batches, release, slices_of, store, table
 
 #: Relative room for the rounding of a square root and of one sum of doubles.
 SLACK = 2.0**-48
@@ -157,6 +157,7 @@ def _totals(state: DataFrame, k: int, dims: int) -> np.ndarray:
 def cluster(rows: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> DataFrame:
     """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 and
     ``distances_computed``, the number of distances that all rounds computed."""
+    bound_batches(rows.sparkSession)
     kept = store(_integers(rows, dims, scale), "integer-vectors")
     hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
     first = kept.withColumn("h", hashed).orderBy(F.col("h").asc_nulls_last(), F.hex("v")).limit(k).collect()  # k rows

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, remainder, table
+from .common import bound_batches, give_back, remainder, table
 from .tokens import slices
 
 MAX_LABELLED, PAIRS, THRESHOLD = 20_000, 200_000, 0.7
@@ -106,6 +106,7 @@ def _statistics_of(texts: list) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Ranker:
     """A ranker from labelled rows outside the held-out fold."""
+    bound_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
         .select("doc_id", "quality")
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """doc_id, score and predicted of every document."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
 
     def run(batches):
@@ -150,6 +152,7 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
 def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """The rows of ``docs`` at or above the threshold, with all their columns."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
 
     def run(batches):

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, release, remainder, store, table
+from .common import bound_batches, mix, release, remainder, store, table
 
 END, BEGIN = np.uint64(0x5E5E5E5E00000001), np.uint64(0x5E5E5E5E00000002)
 #: Counts up to here are discounted.
@@ -427,6 +427,7 @@ def _documents(dealt: DataFrame) -> DataFrame:
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = _training(docs)
     counts = count_words(rows)
     level = word_level(counts)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, store, table
+from .common import bound_batches, release, store, table
 from .components import connected_components
 
 LIST, ENLARGED, TABLES, BLOCK, AUDITS = 8, 32, 6, 512, 6
@@ -289,6 +289,7 @@ def _audit(nodes: DataFrame, dims: int, threshold: float, every_node: bool = Fal
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = LIST, rounds: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept and the audited recall."""
+    bound_batches(rows.sparkSession)
     vectors = store(_unit_vectors(rows), "vectors")
     usable = vectors.where("v is not null and vec_id is not null")
     lengths = sorted(r[0] for r in usable.select(F.octet_length("v")).distinct().collect())  # mostly one

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import bound_batches, store, table
 from .tokens import CACHE_CHUNKS, SLICE, BpeEncoder, slices
 
 CAPACITY = 2048
@@ -179,6 +179,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     """doc_id, piece, start, length, ids_crc32, block, place: ``place`` numbers
     the pieces of one length within one task."""
 
+    bound_batches(docs.sparkSession)
     def run(batches):
         encoder, block = BpeEncoder.of(tokenizer, cache), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()

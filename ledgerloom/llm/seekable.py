@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, store, table
+from .common import bound_batches, fresh_path, store, table
 from .tokens import SLICE, BpeEncoder, slices
 
 #: Fixed values of the public layout.
@@ -126,6 +126,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     """Write files under ``folder``; returns their manifest (block, path, bytes,
     n_docs, n_tokens), committed as a table."""
 
+    bound_batches(docs.sparkSession)
     def run(batches):
         from pyarrow import fs
 
@@ -160,6 +161,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
+    bound_batches(manifest.sparkSession)
     spark = manifest.sparkSession
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # one row a file: the manifest is small however many documents there are

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bound_batches, table
 from .tokens import slices
 
 #: The library's symbol for a blank.
@@ -225,6 +225,7 @@ def encode_pieces(docs: DataFrame, model: str, digest: bool = False) -> DataFram
     """Per document: ids, byte spans and decoded text; with ``digest`` only
     their counts and hashes (the shape of the query)."""
 
+    bound_batches(docs.sparkSession)
     def run(batches):
         encoder = PieceEncoder.of(model)
         for batch in batches:

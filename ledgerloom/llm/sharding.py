@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import bound_batches, store, table
 
 _STEP = np.uint64(2862933555777941757)
 
@@ -42,6 +42,7 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.typeName()
     stable = F.col(key).cast("long") if kind in ("long", "integer", "short", "byte") else F.xxhash64(key)
     rows = docs.select(

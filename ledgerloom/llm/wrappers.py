@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import bound_batches, store, table
 from .tokens import slices
 
 # Fixed values of HTML.
@@ -412,6 +412,7 @@ def _observe(pages: DataFrame) -> DataFrame:
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (as JSON), main (its container of varying text) and fixed
     (its slots that always hold the same text)."""
+    bound_batches(pages.sparkSession)
     seen = store(_observe(pages), "page-streams")
 
     def merge(group: pa.Table) -> pa.Table:
@@ -438,6 +439,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and matched."""
+    bound_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     joined = pages.select("page_id", "url", "html", host.alias("host")).join(wrappers, "host", "left")
 

@@ -1,4 +1,8 @@
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -93,3 +97,24 @@ def test_batches_are_bounded_by_bytes_unless_the_session_says_otherwise(spark):
         assert [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()] == [300]
     finally:
         spark.conf.unset(key)
+
+
+ALONE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+import corpus_pipeline
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://" + sys.argv[2]).getOrCreate()
+docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in (1, 2)] + [(3, " ".join(f"w1x{j}" for j in range(60)))], "doc_id long, text string")
+print("ids", sorted({r.doc_id for r in dict(corpus_pipeline.STAGES)[sys.argv[3]](spark, docs, "").collect()}))
+"""
+
+
+@pytest.mark.parametrize("stage, ids", [("near_duplicates", [1, 2]), ("sequences", [1, 2, 3])])
+def test_a_stage_may_be_the_first_that_a_session_runs(tmp_path, stage, ids):
+    """Workers that cannot import the package from where they are get it from the stage itself."""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    root = str(Path(pipeline.__file__).resolve().parent)
+    (tmp_path / "elsewhere").mkdir()
+    ran = subprocess.run([sys.executable, "-c", ALONE, root, str(tmp_path), stage], cwd=tmp_path / "elsewhere", env=env, capture_output=True, text=True, timeout=300)
+    assert f"ids {ids}" in ran.stdout, ran.stderr[-2000:]
